@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import exact_dedup, line_dedup, mixing, quality_rules, simhash
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.query(documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
@@ -27,8 +31,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op3_simhash": op3_simhash,
-    "op9_mixing": op9_mixing,
-    "op10_line_dedup": op10_line_dedup,
+    f.__name__: f
+    for f in (op1_quality_rules, op3_simhash, op5_exact_dedup, op9_mixing, op10_line_dedup)
 }
