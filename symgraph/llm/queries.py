@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash
-from .common import documents
+from . import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, warc
+from .common import documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.query(documents(spark, sf_dir))
 
@@ -36,5 +40,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_simhash, op5_exact_dedup, op6_packing, op9_mixing, op10_line_dedup)
+    for f in (op1_quality_rules, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op9_mixing, op10_line_dedup)
 }
