@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, warc
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, warc
 from .common import documents, table
 
 
@@ -30,6 +30,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(documents(spark, sf_dir))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(spark, table(spark, sf_dir, "conversations"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
@@ -40,5 +44,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op9_mixing, op10_line_dedup)
+    for f in (op1_quality_rules, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op7_chat, op9_mixing, op10_line_dedup)
 }
