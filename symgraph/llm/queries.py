@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, warc
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, warc
 from .common import documents, table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(documents(spark, sf_dir))
 
@@ -44,5 +48,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op7_chat, op9_mixing, op10_line_dedup)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op7_chat, op9_mixing, op10_line_dedup)
 }
