@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, warc
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 from .common import documents, table
 
 
@@ -38,6 +38,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.query(spark, table(spark, sf_dir, "conversations"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(documents(spark, sf_dir))
 
@@ -48,5 +52,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_quality_classifier, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op7_chat, op9_mixing, op10_line_dedup)
+    for f in (op1_quality_rules, op2_quality_classifier, op3_simhash, op4_warc, op5_exact_dedup, op6_packing, op7_chat, op8_toxicity, op9_mixing, op10_line_dedup)
 }
