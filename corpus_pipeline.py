@@ -1,9 +1,68 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline over documents: five stages, each written and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from symgraph.llm import line_dedup, mixing, packing, quality_classifier, simhash
+from symgraph.llm.common import DOCUMENT_COLUMNS, documents, table, written
+
+
+def _typed(docs: DataFrame) -> DataFrame:
+    """The columns of documents alone, whatever else a table has."""
+    kinds = {"doc_id": "long", "n_chars": "long"}
+    return docs.select(*(F.col(c).cast(kinds.get(c, "string")) for c in DOCUMENT_COLUMNS))
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality_classifier.accepted(_typed(docs), table(spark, sf_dir, "labels"), DOCUMENT_COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stay in another; one of which nothing is left goes if it had a word."""
+    out = line_dedup.dedup_lines(_typed(docs), more=("lang", "source"))
+    out = out.where((F.col("n_dropped") == 0) | (F.btrim("kept") != ""))
+    out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long"))
+    return out.select(*DOCUMENT_COLUMNS)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id; one row of those that repeat it."""
+    docs = _typed(docs)
+    found = simhash.near_duplicates(docs)
+    first = written(found.where("doc_id = component_id").select("doc_id"), "first")
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the words that the mix takes of them, as often as it does."""
+    return mixing.mixed_documents(_typed(docs), DOCUMENT_COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences."""
+    return packing.query(_typed(docs))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_near),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
+
+#: The classifier, the fingerprints and the tokenizer aren't SQL; the tests hold the stages against plain Python.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on documents, each one's result written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
+    return docs
