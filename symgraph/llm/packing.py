@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .letter_bpe import LONGEST as LONGEST_PLAIN
+from .letter_bpe import LetterBpe
 
 LENGTH = 2048
 #: The id that ends a document.
 END = 1
-#: Words whose ids a worker remembers, and bytes of one that it does.
-REMEMBERED = 200_000
-LONGEST = 64
-#: ASCII white space. The tokenizer splits at it whatever stands around, so a text's ids are its words' ids.
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words, and words without case and punctuation, whose ids a worker remembers, and bytes of one that it does.
+REMEMBERED = 400_000
+LONGEST = 48
+#: Characters of texts that are encoded together.
+PORTION = 2_000_000
+MARKS = b'.,;:!?*$%&#"()[]{}-_=+~/@^'
+#: Characters below this one are Latin if they are letters.
+PLAIN_BELOW = 0x250
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer file whose tokens never reach over white space."""
+    """Ids of whole texts by a tokenizer file whose tokens never reach over ASCII white space, whatever stands
+    around it: a text's ids are its words' ids, and most words have been seen before."""
 
     def __init__(self, path: str):
         import os
@@ -30,52 +38,125 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        import numpy as np
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.letters = self._letters(path)
+
+    def _letters(self, path: str) -> LetterBpe | None:
+        """Merges for plain words, if the file's tokenizer is one of the kind: they must agree on its own vocabulary."""
+        try:
+            letters = LetterBpe(path)
+        except (KeyError, TypeError):
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        words = sorted({w.encode() for t in vocabulary if (w := re.sub("[^a-z]", "", t)) and len(w) <= LONGEST_PLAIN})
+        words = words[:: max(1, len(words) // 2000)] + [chr(c).encode() for c in range(0xDF, PLAIN_BELOW) if chr(c) == chr(c).lower() and chr(c).isalpha()]
+        return letters if letters.encode(words) == self._by_tokenizer(words) else None
+
+    def _by_tokenizer(self, texts: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 10_000):
+            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 10_000]], add_special_tokens=False)
+            out += [array("I", x.ids).tobytes() for x in found]
+        return out
 
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        """Of plain words by merges alone: Latin letters, which lower-casing maps one to one and nothing composes."""
+        plain, words = [], []
+        if self.letters:
+            for k, t in enumerate(texts):
+                w = t.decode()
+                if w.isalpha() and max(w) < chr(PLAIN_BELOW) and "\u0130" not in w and len(low := w.lower().encode()) <= LONGEST_PLAIN:
+                    plain.append(k)
+                    words.append(low)
+        out: list[bytes] = [b""] * len(texts)
+        if words:
+            for k, ids in zip(plain, self.letters.encode(words), strict=True):
+                out[k] = ids
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for k, ids in zip(rest, self._by_tokenizer([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
-        words = _WORD.findall(text)
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+    @staticmethod
+    def _stem(word: bytes) -> bytes:
+        """The word without the marks at its end, where the tokenizer parts them: after a letter or digit."""
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word):
+            return word
+        return stem if stem[-4:].decode(errors="ignore")[-1:].isalnum() else word
+
+    def _learn(self, new: set[bytes]) -> None:
+        words, stems, stem_of = self.words, self.stems, self._stem
+        if len(stems) > REMEMBERED:
+            stems.clear()
+        stem = {w: stem_of(w) for w in new}
+        marks = {w[len(s) :] for w, s in stem.items()}
+        unknown = list(marks.union(stem.values()).difference(stems))
+        stems.update(zip(unknown, self._ids(unknown), strict=True))
+        for w, s in stem.items():
+            words[w] = stems[s] if len(s) == len(w) else stems[s] + stems[w[len(s) :]]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as 32-bit integers, little-endian as the machine's are. New words of all texts are
+        encoded at once."""
+        split = [t.encode().split() for t in texts]  # of bytes: at ASCII white space
+        used = set().union(*split)
+        new = used.difference(self.words)
+        if len(self.words) + len(new) > 2 * REMEMBERED:
+            self.words.clear()
+            new = used
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                known.update(zip(part, self.ids(part), strict=True))
-        out = b"".join([known[w] for w in words])
+            self._learn(new)
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > LONGEST:
-                del known[w]
-        if len(known) > 2 * REMEMBERED:  # of one very long text
-            known.clear()
+                del self.words[w]
+                self.stems.pop(w, None)
         return out
 
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+
+def _portions(texts: list[str], size: int = PORTION) -> Iterator[list[str]]:
+    """Texts in order, about size characters at a time."""
+    part: list[str] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+@cache
+def tokenizer_of(path: str) -> WordTokenizer:
+    """A worker's tokenizer, which keeps what it has learnt from task to task."""
+    return WordTokenizer(path)
+
 
 def _tokenized(path: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenizer, part, ahead = WordTokenizer(path), TaskContext.get().partitionId(), 0
+        tokenizer, number, ahead = tokenizer_of(path), TaskContext.get().partitionId(), 0
         end = END.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                b = batch.slice(at, 256)
-                ids = [tokenizer.encode(t or "") + end for t in b.column("text").to_pylist()]
+            at = 0
+            for part in _portions([t or "" for t in batch.column("text").to_pylist()]):
+                ids = [x + end for x in tokenizer.encode_all(part)]
                 starts = []
                 for x in ids:
                     starts.append(ahead)
                     ahead += len(x) // 4
-                columns = [b.column("doc_id"), pa.array(ids, pa.binary()), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64())]
+                columns = [batch.column("doc_id").slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array([number] * len(ids), pa.int32()), pa.array(starts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "part", "ahead"])
+                at += len(ids)
 
     return run
 
