@@ -172,7 +172,7 @@ SELECT page_id, CASE WHEN trim(given) <> '' THEN given WHEN trim(shown) <> '' TH
 
 def relationship_edges(spark, sf_dir):
     """Up to four edges of a relationship with flags; here flags are the bits of a line number."""
-    rel = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 10 = 1").select("l_orderkey", "l_partkey", "l_linenumber")
+    rel = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber")
     kinds = {"reference": 1, "implementation": 2, "type_definition": 4, "definition": 8}
     flags = F.array_compact(F.array(*(F.when(sx.has_bit(F.col("l_linenumber"), bit), kind) for kind, bit in kinds.items())))
     edges = rel.select(F.col("l_orderkey").alias("src_symbol"), F.col("l_partkey").alias("dst_symbol"), F.explode(flags).alias("kind"), F.lit("scip").alias("provenance"))
@@ -218,7 +218,7 @@ SELECT l_partkey, l_orderkey, l_linenumber, l_returnflag, priority FROM (
 def edge_order(spark, sf_dir):
     """Edges in the order in which they are stored, by number."""
     edges = relationship_edges(spark, sf_dir)
-    return edges.where("src_symbol < 2000").orderBy("src_symbol", "dst_symbol", "kind").select("src_symbol", "dst_symbol", "kind")
+    return edges.orderBy("src_symbol", "dst_symbol", "kind").select("src_symbol", "dst_symbol", "kind")
 
 
 EDGE_ORDER = f"SELECT src_symbol, dst_symbol, kind FROM ({RELATIONSHIP_EDGES}) WHERE src_symbol < 2000 ORDER BY ALL"
