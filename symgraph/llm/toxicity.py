@@ -1,9 +1,11 @@
 """Toxicity: words written to evade filters are restored by Viterbi decoding, then the text is scored.
 
 What was written is taken for a word that went through a noisy channel: letters became look-alikes,
-were repeated, or set apart. Each suspicious span becomes a lattice, a row of slots with the strings each
-may stand for and their costs; the path of least cost under a character trigram model, counted over all
-documents, is the restored text. Spans with one path only, which is nearly all words, stay as they are.
+were repeated, or set apart. Each span with a letter that has look-alikes, repeats or gaps becomes a lattice,
+a row of slots with the strings each may stand for and their costs; the path of least cost under a character
+trigram model, counted over all documents, is the restored text. Three letters can't tell a word's punctuation
+from its letters, nor a doubled letter from a repeated one: the text is scored with the word as it stands, with
+what is restored of it with and without the look-alikes at its ends, and with doubled look-alikes left double.
 """
 
 from __future__ import annotations
@@ -27,15 +29,21 @@ LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
-SEPARATORS = " ._-*~"
-#: Costs in nats of what the channel does: a look-alike written or left as it is, a letter repeated, a gap.
-LOOKALIKE, LITERAL, REPEAT, GAP, KEPT_GAP = 1.5, 8.0, 0.5, 0.2, 2.0
+SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
+#: Costs in nats of what the channel does: a look-alike written or left as it is, a letter repeated, a gap,
+#: a gap of a look-alike.
+LOOKALIKE, LITERAL, REPEAT, GAP, KEPT_GAP, LOOKALIKE_GAP = 1.5, 8.0, 0.5, 0.2, 2.0, 4.0
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^[^\w@$]+|(?:[^\w@$]+|@{2,}|\${2,})+$")
-_REPEATS = re.compile(r"([^\W\d_])\1\1", re.I)
-_MIXED = re.compile(r"[^\W\d_][0-9@$!|+(€£¡*]+[^\W\d_]|[0-9@$!|+(€£¡][^\W\d_]{2}|[^\W\d_]{2}[0-9@$]")
-_APART = re.compile(r"(?<![^\x20\x09-\x0D])(?:[\w@$!|+][ ._*~\-]){2,}[\w@$!|+](?![^\x20\x09-\x0D.,!?])")
+_OUTER = re.compile(r"^[^\w@$!|+(€£¡*]+|[^\w@$!|+(€£¡*]+$")
+_LETTER = re.compile(r"[^\W\d_]")
+_LOOKS = re.compile(r"[013456789@$!|+(€£¡*]")
+_REPEATS = re.compile(r"([^\W\d_])\1")
+_DOUBLED = re.compile(r"([^\W_]|[@$!|+(€£¡*])\1")
+#: Letters, each perhaps repeated, with separators between them, of any kind and number; in the first, look-alikes are letters.
+_APART = re.compile(r"(?<![\w'’])(?:(?:([^\W_])\1*|[@$!|+(€£¡])(?:_|[^\w@$!|+(€£¡])+){2,}(?:([^\W_])\2*|[@$!|+(€£¡])(?!\w)")
+_JOINED = re.compile(r"(?:([^\W_])\1*[\W_]+){2,}([^\W_])\2*")
 
 
 def symbol_table():
@@ -87,10 +95,11 @@ def character_model(docs: DataFrame):
     return -np.log(after)
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """Slots of (string, cost) for a lower-cased span."""
+def lattice(span: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
+    """Slots of (string, cost) for a lower-cased span; doubled: what repeats isn't one letter."""
     slots, at = [], 0
-    apart = bool(_APART.fullmatch(span))
+    apart = bool(_APART.fullmatch(span) or _JOINED.fullmatch(span))
+    first, last = len(span) - len(span.lstrip(SIGNS)), len(span.rstrip(SIGNS))
     while at < len(span):
         c = span[at]
         run = at + 1
@@ -100,28 +109,37 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             options = [(c * n, 0.0)]
             if n > 2:
-                options = [(c, REPEAT * 2), (c * 2, REPEAT), (c * n, REPEAT * n)]
-        elif c in SEPARATORS and apart:
+                options = [(c, REPEAT * 2), (c * 2, REPEAT), (c * n, REPEAT * n)][doubled:]
+            elif n == 2 and not doubled:
+                options = [(c * 2, 0.0), (c, REPEAT)]
+        elif apart and not c.isalnum() and c not in LOOKALIKES:
             options = [("", GAP), (" ", KEPT_GAP)]
         else:
-            options = [(c * n, LITERAL)]
+            # As a sign at an end of the span it's punctuation, no part of the word.
+            options = [(c * n if first <= at < last else "", LITERAL)]
             for x in LOOKALIKES.get(c, ""):
-                options += [(x, LOOKALIKE)] + ([(x * 2, LOOKALIKE)] if n > 1 else [])
-        slots.append(options)
+                options += ([] if doubled and n > 1 else [(x, LOOKALIKE)]) + ([(x * 2, LOOKALIKE)] if n > 1 else [])
+            if apart and not c.isalnum():
+                options.append(("", GAP if c == "*" else LOOKALIKE_GAP))
+        if slots and len(options) == len(slots[-1]) == 1:  # one path: one slot
+            ((a, x),), ((b, y),) = slots[-1], options
+            slots[-1] = [(a + b, x + y)]
+        else:
+            slots.append(options)
         at = run
     return slots
 
 
-def decode(span: str, costs) -> str:
+def decode(span: str, costs, doubled: bool = False) -> str:
     """The string of least cost, by Viterbi over the last two symbols; of equal ones the first in order."""
     best = {(0, 0): (0.0, None)}  # state -> cost and the path's end, a linked list
-    for options in [*lattice(span.lower()), [(" ", 0.0)]]:
+    for options in [*lattice(span.lower(), doubled), [(" ", 0.0)]]:
         now: dict = {}
+        coded = [(string, [_symbol(letter) for letter in string], more) for string, more in options]
         for (a, b), (cost, path) in best.items():
-            for string, more in options:
+            for string, codes, more in coded:
                 x, y, c = a, b, cost + more
-                for letter in string:
-                    s = _symbol(letter)
+                for s in codes:
                     c += costs[x][y][s]
                     x, y = y, s
                 if (old := now.get((x, y))) is None or c < old[0]:
@@ -136,22 +154,29 @@ def decode(span: str, costs) -> str:
 
 
 class Restorer:
-    """Words of a text in lower case, deobfuscated."""
+    """Words of a text in lower case, as they stand and deobfuscated."""
 
     def __init__(self, costs):
         self.costs = costs.tolist()  # plain lists are quicker than arrays to index one by one
         self.known: dict[str, tuple[str, ...]] = {}
 
     def span(self, word: str) -> tuple[str, ...]:
-        bare = _EDGES.sub("", word.lower())
-        if _MIXED.search(bare) or _REPEATS.search(bare) or _APART.fullmatch(bare):
-            bare = decode(bare, self.costs)
-        return tuple(x for w in bare.split() if (x := _EDGES.sub("", w)))
+        word = word.lower()
+        bare, outer = _EDGES.sub("", word), _OUTER.sub("", word)
+        found = bare.split()
+        if _LETTER.search(outer):
+            for form in dict.fromkeys((bare, outer)):
+                looks = _LOOKS.search(form)
+                if looks or _REPEATS.search(form) or _APART.fullmatch(form) or _JOINED.fullmatch(form):
+                    found += decode(form, self.costs).split()
+                    if looks and _DOUBLED.search(form):
+                        found += decode(form, self.costs, True).split()
+        return tuple(dict.fromkeys(x for w in found if (x := _EDGES.sub("", w))))
 
     def words(self, text: str) -> set[str]:
         out: set[str] = set()
         known = self.known
-        apart = _APART.findall(text)
+        apart = [m.group() for m in _APART.finditer(text)]
         written = set(_WORD.findall(text)).union(apart)
         for w in written:
             found = known.get(w)
