@@ -29,11 +29,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id; one row of those that repeat it."""
-    docs = _typed(docs)
-    found = simhash.near_duplicates(docs)
-    first = written(found.where("doc_id = component_id").select("doc_id"), "first")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENT_COLUMNS)
+    """Of each group of near copies the document with the least doc_id, one row of those that repeat it.
+
+    Rows of one doc_id with different texts are documents of their own. Rows without doc_id come after
+    those that have one; those of a fingerprint that no other row has are a group, of which one stays.
+    """
+    docs = _typed(docs).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    first = simhash.near_duplicates(docs).groupBy("root").agg(F.min(order).alias("o"))
+    first = written(first.select(F.col("o.doc_id").alias("f_id"), F.col("o.th").alias("f_th")), "first")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "th"]).select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

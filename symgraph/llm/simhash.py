@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rekeyed, written
+from .common import rekeyed, rows_of, written
 from .components import components
 
 MAX_BITS = 4
@@ -58,12 +58,13 @@ def _fingerprints(batches: Iterator) -> Iterator:
 
     for b in batches:
         fps = [_signed(fingerprint(t)) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, th, the text's hash, and fp, the fingerprint as a signed long."""
+    rows = rows_of(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return rows.mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -128,18 +129,23 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """A row a document: doc_id, fp (long) and component_id, the least doc_id reachable by links.
+    """A row a document: doc_id, th, fp (long), root, the least fp reachable by links, and component_id,
+    the least doc_id reachable. Texts of one doc_id are told apart by th; root names their components.
 
     Texts without words, null ones too, have fingerprint zero and link like any other. Texts of fewer
     words than a shingle are one shingle. Rows that repeat are returned each. A row without
-    doc_id carries no links and has the component of its fingerprint, or null if no other row has it.
+    doc_id carries no links and has the component of its fingerprint; if no other row has that one,
+    component_id is null and root the fingerprint.
     Documents of one fingerprint are one node, so copies in any number cost no pairs.
     """
     fps = written(fingerprints(docs), "fingerprints")
-    reps = written(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    found = components(links(reps, max_bits)).select(F.col("u").alias("rep"), "component")
-    classes = reps.join(found, "rep", "left").select(rekeyed(F.col("fp")).alias("k"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.withColumn("k", rekeyed(F.col("fp"))).join(classes, "k", "left").select("doc_id", "fp", "component_id")
+    ids = written(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "reps")
+    found = components(links(ids.select("fp", F.col("fp").alias("rep")), max_bits)).select(F.col("u").alias("rep"), "component")
+    rooted = ids.join(found, F.col("fp") == F.col("rep"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id")).select(rekeyed(F.col("root")).alias("r"), "component_id")
+    classes = rooted.withColumn("r", rekeyed(F.col("root"))).join(least, "r").select(rekeyed(F.col("fp")).alias("k"), "root", "component_id")
+    out = fps.withColumn("k", rekeyed(F.col("fp"))).join(classes, "k", "left")
+    return out.select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"), "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
