@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest
 
 from .linear import SAMPLE, Fit, fitted, held_out, labelled, sigmoid
 
@@ -35,15 +36,50 @@ SIGNS = "".join(c for c in LOOKALIKES if not c.isalnum())
 LOOKALIKE, LITERAL, REPEAT, GAP, KEPT_GAP, LOOKALIKE_GAP = 1.5, 8.0, 0.5, 0.2, 2.0, 4.0
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGES = re.compile(r"^[^\w@$]+|(?:[^\w@$]+|@{2,}|\${2,})+$")
-_OUTER = re.compile(r"^[^\w@$!|+(€£¡*]+|[^\w@$!|+(€£¡*]+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _LOOKS = re.compile(r"[013456789@$!|+(€£¡*]")
 _REPEATS = re.compile(r"([^\W\d_])\1")
 _DOUBLED = re.compile(r"([^\W_]|[@$!|+(€£¡*])\1")
 #: Letters, each perhaps repeated, with separators between them, of any kind and number; in the first, look-alikes are letters.
 _APART = re.compile(r"(?<![\w'’])(?:(?:([^\W_])\1*|[@$!|+(€£¡])(?:_|[^\w@$!|+(€£¡])+){2,}(?:([^\W_])\2*|[@$!|+(€£¡])(?!\w)")
+#: Letters of which none stands twice in a row.
+_SINGLE = re.compile(r"(?:([^\W\d_])(?!\1))+")
 _JOINED = re.compile(r"(?:([^\W_])\1*[\W_]+){2,}([^\W_])\2*")
+#: ASCII marks that are no look-alikes.
+_MARKS = "\"#%&'),-./:;<=>?[\\]^`{}~"
+
+
+def bare(word: str) -> str:
+    """The word without what is no letter or digit at its ends; @ and $ stay, but two or more of them at the end go.
+
+    From each end inwards, each character once: a pattern for this can take exponential time on
+    marks inside a word.
+    """
+    start, end = 0, len(word)
+    while start < end and not (word[start].isalnum() or word[start] in "_@$"):
+        start += 1
+    while start < end:
+        c = word[end - 1]
+        if c.isalnum() or c == "_":
+            break
+        run = end - 1
+        if c in "@$":
+            while run > start and word[run - 1] == c:
+                run -= 1
+            if end - run < 2:
+                break
+        end = run
+    return word[start:end]
+
+
+def outer(word: str) -> str:
+    """The word without what is neither letter, digit nor look-alike at its ends."""
+    start, end = 0, len(word)
+    while start < end and not (word[start].isalnum() or word[start] == "_" or word[start] in SIGNS):
+        start += 1
+    while start < end and not (word[end - 1].isalnum() or word[end - 1] == "_" or word[end - 1] in SIGNS):
+        end -= 1
+    return word[start:end]
 
 
 def symbol_table():
@@ -60,6 +96,17 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+class _Symbols(dict):
+    """Symbols of characters, kept once they are known."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = s = _symbol(c)
+        return s
+
+
+_SYMBOL_OF = _Symbols()
+
+
 def _cut(text: str, size: int = 1 << 20) -> Iterator[str]:
     """The text between blanks, in pieces that overlap by the two characters before."""
     text = f"  {text} "
@@ -102,6 +149,10 @@ def lattice(span: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
     first, last = len(span) - len(span.lstrip(SIGNS)), len(span.rstrip(SIGNS))
     while at < len(span):
         c = span[at]
+        if (plain := _SINGLE.match(span, at)) and plain.group().isalpha():  # one path
+            slots.append([(plain.group(), 0.0)])
+            at = plain.end()
+            continue
         run = at + 1
         while run < len(span) and span[run] == c:
             run += 1
@@ -131,21 +182,34 @@ def lattice(span: str, doubled: bool = False) -> list[list[tuple[str, float]]]:
 
 
 def decode(span: str, costs, doubled: bool = False) -> str:
-    """The string of least cost, by Viterbi over the last two symbols; of equal ones the first in order."""
-    best = {(0, 0): (0.0, None)}  # state -> cost and the path's end, a linked list
+    """The string of least cost, by Viterbi over the last two symbols; of equal ones the first in order.
+
+    After two symbols of a slot with one string all paths are in one state: what follows in the slot
+    costs them the same and isn't added up.
+    """
+    symbol_of = _SYMBOL_OF
+    best = [(0, 0, 0.0, None)]  # the last two symbols, cost and the path's end, a linked list
     for options in [*lattice(span.lower(), doubled), [(" ", 0.0)]]:
         now: dict = {}
-        coded = [(string, [_symbol(letter) for letter in string], more) for string, more in options]
-        for (a, b), (cost, path) in best.items():
-            for string, codes, more in coded:
-                x, y, c = a, b, cost + more
+        if len(options) == 1 and len(string := options[0][0]) > 1:
+            x, y = symbol_of[string[0]], symbol_of[string[1]]
+            path = best[0][3]
+            if len(best) > 1:
+                path = min(best, key=lambda v: v[2] + costs[v[0]][v[1]][x] + costs[v[1]][x][y])[3]
+            best = [(symbol_of[string[-2]], symbol_of[string[-1]], 0.0, (string, path))]
+            continue
+        for string, more in options:
+            codes = [symbol_of[letter] for letter in string]
+            for a, b, cost, path in best:
+                c = cost + more
                 for s in codes:
-                    c += costs[x][y][s]
-                    x, y = y, s
-                if (old := now.get((x, y))) is None or c < old[0]:
-                    now[x, y] = (c, (string, path))
-        best = now
-    _, path = min(best.values(), key=lambda v: v[0])
+                    c += costs[a][b][s]
+                    a, b = b, s
+                key = a * SYMBOLS + b
+                if (old := now.get(key)) is None or c < old[2]:
+                    now[key] = (a, b, c, (string, path))
+        best = list(now.values())
+    path = min(best, key=lambda v: v[2])[3]
     out = []
     while path:
         out.append(path[0])
@@ -160,42 +224,51 @@ class Restorer:
         self.costs = costs.tolist()  # plain lists are quicker than arrays to index one by one
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def _readings(self, form: str) -> tuple[str, ...]:
+        """What a form decodes to, which words that differ in their edges and case share."""
+        found = self.known.get(form)
+        if found is None:
+            found = tuple(decode(form, self.costs).split())
+            if _LOOKS.search(form) and _DOUBLED.search(form):
+                found += tuple(decode(form, self.costs, True).split())
+            if len(form) < 64:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[form] = found
+        return found
+
     def span(self, word: str) -> tuple[str, ...]:
-        word = word.lower()
-        bare, outer = _EDGES.sub("", word), _OUTER.sub("", word)
-        found = bare.split()
-        if _LETTER.search(outer):
-            for form in dict.fromkeys((bare, outer)):
-                looks = _LOOKS.search(form)
-                if looks or _REPEATS.search(form) or _APART.fullmatch(form) or _JOINED.fullmatch(form):
-                    found += decode(form, self.costs).split()
-                    if looks and _DOUBLED.search(form):
-                        found += decode(form, self.costs, True).split()
-        return tuple(dict.fromkeys(x for w in found if (x := _EDGES.sub("", w))))
+        """Of a word or of letters set apart, which only count in lower case and without marks at their ends:
+        as it stands, and its readings."""
+        word = word.lower().strip(_MARKS)
+        if word.isalpha():  # as most words are
+            return tuple(dict.fromkeys((word, *self._readings(word)))) if _REPEATS.search(word) else (word,)
+        inner, wide = bare(word), outer(word)
+        found = inner.split()
+        if _LETTER.search(wide):
+            for form in dict.fromkeys((inner, wide)):
+                if _LOOKS.search(form) or _REPEATS.search(form) or _APART.fullmatch(form) or _JOINED.fullmatch(form):
+                    found += self._readings(form)
+        return tuple(dict.fromkeys(x for w in found if (x := bare(w))))
+
+    @staticmethod
+    def written(text: str) -> set[str]:
+        """The words of a text, and its runs of letters set apart, each once."""
+        out = set(_WORD.findall(text))
+        out.update(m.group() for m in _APART.finditer(text))
+        return out
 
     def words(self, text: str) -> set[str]:
-        out: set[str] = set()
-        known = self.known
-        apart = [m.group() for m in _APART.finditer(text)]
-        written = set(_WORD.findall(text)).union(apart)
-        for w in written:
-            found = known.get(w)
-            if found is None:
-                found = self.span(w)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(w) < 64:
-                    known[w] = found
-            out.update(found)
-        return out
+        return {x for w in self.written(text) for x in self.span(w)}
 
 
 def _ids(word: str, bits: int) -> list[int]:
     """Features of a word: itself and its beginnings."""
-    from xxhash import xxh32_intdigest
-
-    parts = [word, *(word[:k] + "~" for k in (4, 5, 6, 7) if len(word) >= k)]
-    return [xxh32_intdigest(p.encode()) >> (32 - bits) for p in parts]
+    low, n = 32 - bits, len(word)
+    out = [xxh32_intdigest(word.encode()) >> low]
+    if n >= 4:
+        out += [xxh32_intdigest((word[:k] + "~").encode()) >> low for k in range(4, min(n, 7) + 1)]
+    return out
 
 
 def features(costs, bits: int) -> Callable:
@@ -213,23 +286,33 @@ def features(costs, bits: int) -> Callable:
 
 
 def scorer(costs, weights, bits: int) -> Callable:
-    """texts -> scores."""
-    restorer, known = Restorer(costs), {}
-
-    def heavy(word: str) -> tuple:
-        return tuple((i, float(weights[i])) for i in _ids(word, bits) if weights[i])
+    """texts -> scores. What a word adds is remembered by the word as written and by its form; words that add
+    nothing, as most do, are left out of the work at once."""
+    restorer, light, forms = Restorer(costs), set(), {}
+    weight_of = {int(i): float(weights[i]) for i in weights[:-1].nonzero()[0]}
+    bias, none = float(weights[-1]), {}
+
+    def features_of(form: str) -> dict[int, float]:
+        own = forms.get(form)
+        if own is None:
+            own = {i: weight_of[i] for w in restorer.span(form) for i in _ids(w, bits) if i in weight_of} or none
+            if len(form) < 64:
+                if len(forms) >= REMEMBERED:
+                    forms.clear()
+                forms[form] = own
+        return own
 
     def score(text: str) -> float:
         found: dict[int, float] = {}
-        for w in restorer.words(text):
-            own = known.get(w)
-            if own is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                own = known[w] = heavy(w)
+        for w in restorer.written(text).difference(light):
+            own = features_of(w.lower().strip(_MARKS))
             if own:
                 found.update(own)
-        return sigmoid(float(weights[-1]) + sum(found[i] for i in sorted(found)))
+            elif len(w) < 64:
+                if len(light) >= 2 * REMEMBERED:
+                    light.clear()
+                light.add(w)
+        return sigmoid(bias + sum(found[i] for i in sorted(found)))
 
     return lambda texts: [score(t or "") for t in texts]
 
