@@ -221,12 +221,20 @@ def directories(path: Column) -> Column:
 
 
 def clean_path(path: Column) -> Column:
-    """Slashes one way, no doubled ones, no ./ and no step down and up again."""
-    out = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+", "/")
-    out = F.regexp_replace(out, r"(^|/)(\./)+", "$1")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
+    """Slashes one way, no doubled ones, no . and no step down and up again, at any depth. A slash at the end stays."""
+    out = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(out, "/"), lambda p: ~p.isin("", "."))
+    rooted = out.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        back = (part == "..") & (F.size(done) > 0) & (last != "..")
+        above_root = (part == "..") & (F.size(done) == 0) & rooted
+        return F.when(back, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(above_root, done).otherwise(F.array_append(done, part))
+
+    clean = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    clean = F.when((clean != "") & out.endswith("/"), F.concat(clean, F.lit("/"))).otherwise(clean)
+    return F.when(rooted, F.concat(F.lit("/"), clean)).when(clean == "", ".").otherwise(clean)
 
 
 def inside_root(path: Column) -> Column:

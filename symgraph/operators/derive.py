@@ -22,29 +22,39 @@ def chunk_spans(corpus: Corpus) -> DataFrame:
     return corpus.chunks.join(first, ["doc_id", "start_line"]).join(last, ["doc_id", "end_line"])
 
 
-def parents(chunks: DataFrame) -> DataFrame:
+def parents(chunks: DataFrame, by: str = "doc_id") -> DataFrame:
     """chunk_key and parent_key: the smallest other chunk of the file, not of zero width, that contains it, and
-    of several the first by start, the later end, and key."""
+    of several the first by start, the later end, and key.
+
+    The least width and start is found first, as one number; only the chunks that have both are told apart by key.
+    """
     outer = chunks.where("end_byte > start_byte").select(
-        "doc_id", F.col("chunk_key").alias("o_key"), F.col("start_line").alias("o_start_line"), F.col("end_line").alias("o_end_line"),
-        F.col("start_byte").alias("o_start"), F.col("end_byte").alias("o_end"),
+        by, F.col("chunk_key").alias("o_key"), F.col("start_line").alias("o_start_line"), F.col("end_line").alias("o_end_line"),
+        F.col("start_byte").cast("long").alias("o_start"), F.col("end_byte").cast("long").alias("o_end"),
     )
-    inner = chunks.select("doc_id", "chunk_key", "start_line", "start_byte", "end_byte")
+    inner = chunks.select(by, "chunk_key", "start_line", "start_byte", "end_byte")
     inside = (F.col("o_key") != F.col("chunk_key")) & (F.col("o_start") <= F.col("start_byte")) & (F.col("o_end") >= F.col("end_byte"))
-    pairs = range_join(inner, outer, ["doc_id"], inside, "start_line", "o_start_line", "o_end_line")
-    order = F.struct(F.col("o_end") - F.col("o_start"), F.col("o_start"), -F.col("o_end"), F.col("o_key"))
-    found = pairs.groupBy("chunk_key").agg(F.min_by("o_key", order).alias("parent_key"))
+    pairs = range_join(inner, outer, [by], inside, "start_line", "o_start_line", "o_end_line")
+    best = pairs.groupBy(by, "chunk_key").agg(F.min((F.col("o_end") - F.col("o_start")) * sx.PLACE_COLS + F.col("o_start")).alias("best"))
+    of = outer.select(F.col(by).alias("of"), "o_key", ((F.col("o_end") - F.col("o_start")) * sx.PLACE_COLS + F.col("o_start")).alias("span"))
+    ties = best.join(of, (F.col(by) == F.col("of")) & (F.col("best") == F.col("span"))).where("o_key <> chunk_key")
+    found = ties.groupBy("chunk_key").agg(F.min("o_key").alias("parent_key"))
     return chunks.select("chunk_key").join(found, "chunk_key", "left")
 
 
 def primary_symbols(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
     """chunk_key and primary_symbol: of the definitions inside the chunk the one of its name, else that of the
-    fewest lines (here all have one), of equal ones the first. A minimum, so it is partly found before the shuffle."""
+    fewest lines (here all have one), of equal ones the first. The least place is found as a number, by partial
+    hash aggregates, and has one definition."""
     points = definitions.select("doc_id", "line", "col", "symbol")
     spans = chunks.select("doc_id", "chunk_key", "name", "start_line", "end_line")
     pairs = interval_join(points, spans, ["doc_id"])
     named = (F.col("name") != "") & (F.col("symbol") == F.col("name"))
-    return pairs.groupBy("chunk_key").agg(F.min_by("symbol", F.struct((~named).alias("other"), "line", "col")).alias("primary_symbol"))
+    other = F.when(named, F.lit(0).cast("long")).otherwise(F.lit(sx.PLACE_COLS * sx.PLACE_COLS))
+    best = pairs.groupBy("doc_id", "chunk_key").agg(F.min(other + sx.place(F.col("line"), F.col("col"))).alias("best"))
+    best = best.select("doc_id", "chunk_key", (F.col("best") % F.lit(sx.PLACE_COLS * sx.PLACE_COLS)).alias("place"))
+    at = points.select("doc_id", sx.place(F.col("line"), F.col("col")).alias("place"), F.col("symbol").alias("primary_symbol"))
+    return best.join(at, ["doc_id", "place"]).select("chunk_key", "primary_symbol")
 
 
 def roles(row_is_definition: Column, is_import: Column, is_write: Column, is_read: Column, syntax_kind: Column) -> Column:
@@ -65,12 +75,17 @@ def chunk_symbol_links(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def enclosing_symbols(chunks: DataFrame, points: DataFrame, ignored: tuple[str, ...] = IGNORED_KINDS) -> DataFrame:
-    """doc_id, line and enclosing: the primary symbol of the innermost chunk of a kind that isn't ignored."""
+    """doc_id, line and enclosing: the primary symbol of the innermost chunk of a kind that isn't ignored, of chunks
+    with the same lines the first by key. Chunks of the same lines become one before they meet the points."""
     spans = chunks.where(~F.col("kind").isin(*ignored)).where("primary_symbol IS NOT NULL")
-    spans = spans.select("doc_id", "chunk_key", "primary_symbol", "start_line", "end_line")
-    pairs = interval_join(points.select("doc_id", "line").distinct(), spans, ["doc_id"])
-    order = F.struct(F.col("end_line") - F.col("start_line"), "start_line", "chunk_key")
-    return pairs.groupBy("doc_id", "line").agg(F.min_by("primary_symbol", order).alias("enclosing"))
+    spans = spans.groupBy("doc_id", "start_line", "end_line").agg(F.min(F.struct("chunk_key", "primary_symbol")).alias("c"))
+    spans = spans.select("doc_id", "start_line", "end_line", F.col("c.primary_symbol").alias("primary_symbol"))
+    pairs = interval_join(points.select("doc_id", "line").distinct(), spans.drop("primary_symbol"), ["doc_id"])
+    width = F.col("end_line").cast("long") - F.col("start_line")
+    best = pairs.groupBy("doc_id", "line").agg(F.min(width * sx.PLACE_COLS + F.col("start_line")).alias("best"))
+    start = F.col("best").bitwiseAND(F.lit(sx.PLACE_COLS - 1)).cast("int")
+    best = best.select("doc_id", "line", start.alias("start_line"), (start + F.shiftright("best", 31).cast("int")).alias("end_line"))
+    return best.join(spans, ["doc_id", "start_line", "end_line"]).select("doc_id", "line", F.col("primary_symbol").alias("enclosing"))
 
 
 def occurrence_edges(chunks: DataFrame, occurrences: DataFrame, ignored: tuple[str, ...] = IGNORED_KINDS) -> DataFrame:
@@ -109,7 +124,7 @@ def reference_names(links: DataFrame, occurrences: DataFrame, chunks: DataFrame,
     other = occurrences.where(F.exists(roles(*flags), lambda r: r != "defines"))
     first = other.groupBy("doc_id", "line", "symbol").agg(F.min("col").alias("col"))
     pairs = interval_join(first, chunks.select("doc_id", "chunk_key", "start_line", "end_line"), ["doc_id"])
-    first = pairs.groupBy("chunk_key", "symbol").agg(F.min(F.struct("line", "col")).alias("at"))
+    first = pairs.groupBy("chunk_key", "symbol").agg(F.min(sx.place(F.col("line"), F.col("col"))).alias("at"))
     w = Window.partitionBy("chunk_key").orderBy("at", "symbol")
     first = first.withColumn("nr", F.row_number().over(w)).where(F.col("nr") <= most)  # bounded before it is collected
     return first.groupBy("chunk_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("nr", "symbol"))), lambda s: s["symbol"]).alias("names"))

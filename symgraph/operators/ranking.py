@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sx
-from .retrieval import HIT, definition_chunks, ranked, related_chunks
+from .retrieval import HIT, any_in, definition_chunks, held, ranked, related_chunks
 
 CANDIDATES, SEEDS, SEED_SYMBOLS, RELATED = 6, 3, 4, 6
 TEMPERATURE = 4.0
@@ -26,14 +26,20 @@ def pool_size(limit: int) -> int:
     return min(max(POOL_FACTOR * max(1, limit), POOL_LEAST), POOL_MOST)
 
 
-def resolved_definition(found: DataFrame, query: str) -> DataFrame:
-    """Of find_definitions' rows the one that is meant, and whether that was ambiguous. Exact names
-    count alone if there are any; of several the most specific one is taken, then the first."""
+def candidates(found: DataFrame, query: str) -> DataFrame:
+    """Of find_definitions' rows those that may be meant, the most specific first, with place, and whether that is
+    ambiguous. Exact names count alone if there are any."""
     exact = (F.col("display_name") == query) | (F.col("scip_symbol") == query)
     rows = found.withColumn("exact", exact).withColumn("n_exact", F.sum(F.col("exact").cast("int")).over(everything()))
     rows = rows.where((F.col("n_exact") == 0) | F.col("exact")).withColumn("ambiguous", F.count(F.lit(1)).over(everything()) > 1)
-    score = sx.specificity(F.col("abs_path"), F.col("kind"), F.col("doc_summary"), F.col("def_line"), F.col("def_line"))
-    return rows.withColumn("specificity", score).orderBy(F.desc("specificity"), "rank").limit(1)
+    end = F.coalesce("def_end_line", "def_line") if "def_end_line" in found.columns else F.col("def_line")
+    score = sx.specificity(F.col("abs_path"), F.col("kind"), F.col("doc_summary"), F.col("def_line"), end)
+    return rows.withColumn("specificity", score).orderBy(F.desc("specificity"), "rank")
+
+
+def resolved_definition(found: DataFrame, query: str) -> DataFrame:
+    """The first of candidates(): the definition that is meant, and whether that was ambiguous."""
+    return candidates(found, query).limit(1)
 
 
 def above_floor(hits: DataFrame) -> DataFrame:
@@ -61,23 +67,28 @@ def gated(hits: DataFrame, lexical: list[DataFrame], semantic: DataFrame, n_term
     return hits.join(F.broadcast(gate.distinct()), F.lit(True), "left_semi")
 
 
+BOOST = "chunk_key string, abs_path string, kind string, name string, start_line int, end_line int, primary_symbol string, boost double"
+
+
 def signal_boosts(chunks: DataFrame, exact: DataFrame | None, lexical_symbols: DataFrame | None, lexical_chunks: DataFrame | None, semantic: DataFrame | None) -> DataFrame:
-    """A row a signal and chunk: the hit's columns and boost. Symbols stand for their definition chunks."""
+    """A row a signal and chunk: the hit's columns and boost. Symbols stand for their definition chunks. The signals
+    are held() lists; without any, no rows."""
     parts = []
     symbols = []
     if exact is not None:
-        symbols.append(exact.select(F.col("display_name").alias("primary_symbol"), F.lit(sx.EXACT_BOOST).alias("boost")))
+        symbols.append(exact.select(F.col("scip_symbol").alias("primary_symbol"), F.lit(sx.EXACT_BOOST).alias("boost")))
     if lexical_symbols is not None:
-        symbols.append(lexical_symbols.select(F.col("display_name").alias("primary_symbol"), (70 * F.col("score") * sx.rank_weight(F.col("rank"))).alias("boost")))
+        symbols.append(lexical_symbols.select(F.col("scip_symbol").alias("primary_symbol"), (70 * F.col("score") * sx.rank_weight(F.col("rank"))).alias("boost")))
     if symbols:
         wanted = symbols[0] if len(symbols) == 1 else symbols[0].unionByName(symbols[1])
-        parts.append(definition_chunks(chunks).select(*HIT).join(F.broadcast(wanted), "primary_symbol").select(*HIT, "boost"))
+        own = chunks.where(any_in("primary_symbol", wanted, "primary_symbol"))
+        parts.append(definition_chunks(own).select(*HIT).join(F.broadcast(wanted), "primary_symbol").select(*HIT, "boost"))
     if lexical_chunks is not None:
         parts.append(lexical_chunks.select(*HIT, (28 * sx.rank_weight(F.col("rank"))).alias("boost")))
     if semantic is not None:
         parts.append(semantic.select(*HIT, (55 * sx.similarity(F.col("distance")) * sx.rank_weight(F.col("rank"))).alias("boost")))
-    out = parts[0]
-    for p in parts[1:]:
+    out = chunks.sparkSession.createDataFrame([], BOOST)
+    for p in parts:
         out = out.unionByName(p)
     return out
 
@@ -89,18 +100,19 @@ def fused(boosts: DataFrame) -> DataFrame:
 def seed_symbols(boosts: DataFrame, links: DataFrame, limit: int = SEEDS) -> DataFrame:
     """symbol and weight: the strongest of the signals' symbols and of those linked to the best candidates."""
     own = boosts.where("boost > 0 AND primary_symbol IS NOT NULL").select(F.col("primary_symbol").alias("symbol"), F.col("boost").alias("weight"))
-    top = ranked(fused(boosts), [F.desc("score"), "chunk_key"], CANDIDATES).select("chunk_key", "score")
-    linked = links.join(F.broadcast(top), "chunk_key")
+    top = held(ranked(fused(boosts), [F.desc("score"), "chunk_key"], CANDIDATES).select("chunk_key", "score"))
+    linked = links.where(any_in("chunk_key", top, "chunk_key")).join(F.broadcast(top), "chunk_key")
     weight = F.col("weight") * sx.seed_share(F.col("score")) * sx.role_weight(F.col("role"))
     linked = linked.select("symbol", weight.alias("weight"))
     out = own.unionByName(linked).where("weight > 0").groupBy("symbol").agg(F.max("weight").alias("weight"))
-    return out.orderBy(F.desc(F.round("weight", 9)), "symbol").limit(limit)
+    return held(out.orderBy(F.desc(F.round("weight", 9)), "symbol").limit(limit))
 
 
 def graph_boosts(chunks: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """A row a relation of a seed: the hit's columns and boost."""
     weights = F.broadcast(seeds.select(F.col("symbol").alias("seed"), "weight"))  # SEEDS rows
-    related = related_chunks(chunks, edges, F.broadcast(seeds.select("symbol")), min(RELATED, limit)).join(weights, "seed")
+    near = edges.where(any_in("src_symbol", seeds, "symbol") | any_in("dst_symbol", seeds, "symbol"))
+    related = related_chunks(chunks, near, F.broadcast(seeds.select("symbol")), min(RELATED, limit)).join(weights, "seed")
     boost = 18 * sx.seed_share(F.col("weight")) * sx.edge_weight(F.col("relation_kind"), F.col("direction"))
     return related.select(*HIT, boost.alias("boost"))
 
@@ -133,11 +145,12 @@ def context_seed(hits: DataFrame, query: str, identifier: bool) -> DataFrame:
 
 
 def seed_chunk_related(chunks: DataFrame, edges: DataFrame, links: DataFrame, seed: DataFrame, limit: int) -> DataFrame:
-    """seed: chunk_key. Chunks related to the symbols it is most linked to, each once, in the symbols' order."""
-    own = links.join(F.broadcast(seed.select("chunk_key")), "chunk_key", "left_semi")
+    """seed: chunk_key, one row at most. Chunks related to the symbols it is most linked to, each once, in the symbols' order."""
+    own = links.where(any_in("chunk_key", held(seed.select("chunk_key")), "chunk_key"))
     own = own.groupBy("symbol").agg(F.max(F.col("weight") * sx.role_weight(F.col("role"))).alias("weight"))
-    best = ranked(own, [F.desc(F.round("weight", 9)), "symbol"], SEED_SYMBOLS)
-    related = related_chunks(chunks, edges, F.broadcast(best.select("symbol")), min(RELATED, limit))
+    best = held(ranked(own, [F.desc(F.round("weight", 9)), "symbol"], SEED_SYMBOLS))
+    near = edges.where(any_in("src_symbol", best, "symbol") | any_in("dst_symbol", best, "symbol"))
+    related = related_chunks(chunks, near, F.broadcast(best.select("symbol")), min(RELATED, limit))
     related = related.join(F.broadcast(best.select(F.col("symbol").alias("seed"), F.col("rank").alias("seed_rank"))), "seed")
     first = Window.partitionBy("chunk_key").orderBy("seed_rank", "nr")
     related = related.withColumn("again", F.row_number().over(first)).where("again = 1").drop("again")

@@ -39,6 +39,16 @@ def ranked(hits: DataFrame, order: list, limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """A result that its limits bound, brought to the driver once, so that no later step computes it again."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def any_in(column: str, rows: DataFrame, of: str) -> Column:
+    """column is one of the values of a held() frame: constants, which reach the scan as a filter."""
+    return F.col(column).isin([r[0] for r in rows.select(of).distinct().collect()])
+
+
 def l2_distance(vector: Column, query: list[float]) -> Column:
     """Distance from a constant vector, in double, in the vector's order."""
     squares = F.zip_with(vector, F.lit([float(x) for x in query]), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
@@ -55,13 +65,18 @@ def nearest(vectors: DataFrame, query: list[float], limit: int, key: str = "vec_
 
 
 def search_vectors(chunks: DataFrame, vectors: DataFrame, query: list[float], limit: int, foreign_first: bool = False) -> DataFrame:
-    """Module chunks by the distance of their vectors. The project's filter comes first; with
-    foreign_first the nearest of all projects are taken before it, as the store did."""
-    modules = chunks.where("kind = 'module'").select(*HIT, F.col("doc_id").alias("vec_id"))
+    """Chunks by the distance of their vectors, which name them by owner_key, or by vec_id as the number of the
+    document of a module chunk. The project's filter comes first; with foreign_first the nearest of
+    all projects are taken before it, as the store did."""
+    if "vec_id" in vectors.columns:
+        key, own = "vec_id", chunks.where("kind = 'module'").select(*HIT, F.col("doc_id").alias("vec_id"))
+    else:
+        key, own = "owner_key", chunks.select(*HIT, F.col("chunk_key").alias("owner_key"))
+        vectors = vectors.where("owner_type = 'chunk'").withColumnRenamed("vector", "embedding")
     if not foreign_first:
-        vectors = vectors.join(modules.select("vec_id"), "vec_id", "left_semi")
-    top = nearest(vectors.select("vec_id", "embedding"), query, limit).select("vec_id", "distance")
-    hits = modules.join(F.broadcast(top), "vec_id")  # of `limit` rows
+        vectors = vectors.join(own.select(key), key, "left_semi")
+    top = nearest(vectors.select(key, "embedding"), query, limit, key).select(key, "distance")
+    hits = own.join(F.broadcast(top), key)  # of `limit` rows
     return ranked(hits.select(*HIT, "distance"), ["distance", "start_line", "chunk_key"], limit)
 
 
@@ -103,7 +118,8 @@ def list_references(occurrences: DataFrame, edges: DataFrame, seeds: DataFrame,
     """Occurrences, not definitions, of the seeds' reference family, by path, line and column."""
     family = reference_family(edges, seeds)
     out = occurrences.where(~F.col("is_definition")).join(family, "symbol", "left_semi")
-    out = out.withColumn("abs_path", F.concat("root_path", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    if "abs_path" not in out.columns:
+        out = out.withColumn("abs_path", F.concat("root_path", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")))
     out = out.select("symbol", "abs_path", "line", "col", "syntax_kind")
     return out if limit is None else out.orderBy("abs_path", "line", "col").limit(limit if limit > 0 else 10)
 
@@ -119,10 +135,10 @@ def linked_symbols(links: DataFrame, chunk_keys: DataFrame) -> DataFrame:
 
 
 def neighbours(chunks: DataFrame, seed: DataFrame, limit: int) -> DataFrame:
-    """Chunks of the seed's file nearest to it by start line. seed has one row, or none: doc_id, chunk_key, start_line."""
-    one = F.broadcast(seed.select(F.col("doc_id").alias("s_doc"), F.col("chunk_key").alias("s_key"), F.col("start_line").alias("s_line")).limit(1))
-    near = chunks.join(one, F.col("doc_id") == F.col("s_doc")).where("chunk_key <> s_key")
-    near = near.withColumn("line_distance", F.abs(F.col("start_line") - F.col("s_line"))).drop("s_doc", "s_key", "s_line")
+    """Chunks of the seed's file nearest to it by start line. seed has one row, or none: abs_path, chunk_key, start_line."""
+    one = F.broadcast(seed.select(F.col("abs_path").alias("s_path"), F.col("chunk_key").alias("s_key"), F.col("start_line").alias("s_line")).limit(1))
+    near = chunks.join(one, F.col("abs_path") == F.col("s_path")).where("chunk_key <> s_key")
+    near = near.withColumn("line_distance", F.abs(F.col("start_line") - F.col("s_line"))).drop("s_path", "s_key", "s_line")
     return near.orderBy("line_distance", "start_line", "chunk_key").limit(limit)
 
 

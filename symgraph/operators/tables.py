@@ -18,6 +18,11 @@ from ..schema import TABLES
 MANIFEST = "table string, root_path string, adapter_id string, path string"
 #: Tables whose rows belong to a file, and the column that names it.
 BY_FILE = {"files": "relative_path", "chunks": "file_path", "occurrences": "file_path"}
+#: Columns that searches look rows up by: their Parquet files say which values a row group hasn't.
+LOOKED_UP = {
+    "symbols": ("scip_symbol", "display_name"), "chunks": ("chunk_key", "primary_symbol", "file_path"), "chunk_symbols": ("chunk_key",),
+    "edges": ("src_symbol", "dst_symbol"), "occurrences": ("symbol",), "embeddings": ("owner_key",),
+}
 
 
 class Store:
@@ -39,22 +44,71 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(top)]
         return sorted(int(n) for n in names if n.isdigit())
 
-    def manifest(self, version: int | None = None) -> list[tuple]:
-        """(table, root_path, adapter_id, path) of the current snapshot, or an older one."""
-        versions = self._versions()
-        if not versions:
-            return []
-        rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifests/{version or versions[-1]}")
-        return [tuple(r) for r in rows.collect()]
-
-    def _publish(self, rows: list[tuple]) -> None:
-        """The manifest is written aside and renamed, which shows it whole or not at all."""
+    def _latest(self) -> tuple[int, str | None]:
+        """The last version and its manifest's folder. A version whose claim is still empty isn't there yet."""
+        fs, path = self._fs()
+        for n in reversed(self._versions()):
+            claim = path(f"{self.path}/manifests/{n}")
+            size = fs.getFileStatus(claim).getLen()
+            if size:
+                stream = fs.open(claim)
+                try:
+                    return n, str(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                finally:
+                    stream.close()
+        return 0, None
+
+    def _read(self, folder: str | None) -> list[tuple]:
+        return [tuple(r) for r in self.spark.read.schema(MANIFEST).json(folder).collect()] if folder else []
+
+    def manifest(self) -> list[tuple]:
+        """(table, root_path, adapter_id, path) of the current snapshot."""
+        return self._read(self._latest()[1])
+
+    def _publish(self, change, own: tuple[str, str] | None = None, base: list[tuple] | None = None) -> None:
+        """change: rows of a manifest -> those of the next. The manifest is written aside; then a small file of
+        the next number, which only one writer can create, names it. Who comes second changes the other's
+        manifest, unless it has other rows of `own`, the project that base was read for."""
         fs, path = self._fs()
-        number = (self._versions() or [0])[-1] + 1
-        aside = f"{self.path}/manifests/_{uuid.uuid4().hex}"
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(aside)
-        if not fs.rename(path(aside), path(f"{self.path}/manifests/{number}")):
-            raise RuntimeError(f"another writer has published version {number}")
+        while True:
+            number, folder = self._latest()
+            rows = self._read(folder)
+            if own and sorted(r for r in rows if r[1:3] == own) != sorted(r for r in base or [] if r[1:3] == own):
+                raise RuntimeError(f"another writer has changed {own} meanwhile")
+            aside = f"{self.path}/manifests/rows-{uuid.uuid4().hex}"
+            self.spark.createDataFrame(change(rows), MANIFEST).coalesce(1).write.json(aside)
+            taken = self._versions()
+            number = max([number, *(n for n in taken if n > number)]) + 1
+            try:
+                out = fs.create(path(f"{self.path}/manifests/{number}"), False)
+            except Exception as e:
+                if "FileAlreadyExists" in str(e):
+                    continue
+                raise
+            out.write(aside.encode())
+            out.close()
+            return
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Removes all but the last `keep` versions, and folders that no version left names. How many folders went.
+        To be run while nothing is written, since a write's folders are in no manifest yet."""
+        fs, path = self._fs()
+        versions, named = self._versions(), set()
+        for n in versions[-max(1, keep) :]:
+            stream = fs.open(path(f"{self.path}/manifests/{n}"))
+            folder = str(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            if folder:
+                named |= {folder} | {r[3] for r in self._read(folder)}
+        for n in versions[: -max(1, keep)]:
+            fs.delete(path(f"{self.path}/manifests/{n}"), False)
+        names = {x.rstrip("/").rpartition("/")[2] for x in named}
+        gone = 0
+        for top in [path(f"{self.path}/manifests"), *(path(f"{self.path}/data/{t}") for t in TABLES)]:
+            for s in fs.listStatus(top) if fs.exists(top) else []:
+                if s.isDirectory() and s.getPath().getName() not in names:
+                    gone += fs.delete(s.getPath(), True)
+        return gone
 
     # -- reading
 
@@ -76,49 +130,76 @@ class Store:
 
     def _write(self, name: str, root: str, adapter: str, rows: DataFrame) -> tuple:
         folder = f"{self.path}/data/{name}/{uuid.uuid4().hex}"
+        rows = rows.withColumns({"root_path": F.lit(root), "adapter_id": F.lit(adapter)})
         declared = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name]]
-        rows.withColumns({"root_path": F.lit(root), "adapter_id": F.lit(adapter)}).select(*declared).write.parquet(folder)
+        filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP.get(name, ())}
+        rows.select(*declared).write.options(**filters).parquet(folder)
         return name, root, adapter, folder
 
-    def _kept(self, root: str, adapter: str, tables: Iterable[str]) -> list[tuple]:
+    @staticmethod
+    def _other(rows: list[tuple], root: str, adapter: str, tables: Iterable[str]) -> list[tuple]:
         tables = set(tables)
-        return [r for r in self.manifest() if not (r[1] == root and r[2] == adapter and r[0] in tables)]
+        return [r for r in rows if not (r[1] == root and r[2] == adapter and r[0] in tables)]
+
+    def stage(self, name: str, root: str, adapter: str, rows: DataFrame) -> tuple[tuple, DataFrame]:
+        """Writes rows that no reader sees yet, for replace(), and reads them back for what is derived from them."""
+        entry = self._write(name, root, adapter, rows)
+        return entry, self.spark.read.schema(TABLES[name]).parquet(entry[3])
 
-    def replace(self, root: str, adapter: str, payload: dict[str, DataFrame]) -> None:
-        """All tables of (root, adapter) anew; other projects' rows stay as they are."""
-        kept = self._kept(root, adapter, set(TABLES) - {"index_runs"})
-        new = [self._write(name, root, adapter, rows) for name, rows in payload.items()]
-        self._publish(kept + new)
+    def replace(self, root: str, adapter: str, payload: dict[str, DataFrame | tuple]) -> None:
+        """All tables of (root, adapter) anew, from rows or stage(); other projects' rows stay as they are. A table
+        that payload hasn't is empty afterwards, but for projects, of which the old row stays."""
+        new = [rows if isinstance(rows, tuple) else self._write(name, root, adapter, rows) for name, rows in payload.items()]
+        gone = set(TABLES) - {"index_runs"} - ({"projects"} - set(payload))
+        self._publish(lambda rows: self._other(rows, root, adapter, gone) + new)
 
     def update(self, root: str, adapter: str, changed: DataFrame, payload: dict[str, DataFrame]) -> None:
         """changed: relative_path of files that changed or went. Rows of other files are kept where a table is
         by file, payload holds the changed files' rows; other tables in payload replace the old. Vectors are
-        kept where the chunk's text has the same hash."""
-        new = []
-        for name, rows in payload.items():
+        kept as far as payload hasn't new ones and their chunks are still there."""
+        base = self.manifest()
+        new, now = [], {}
+        names = sorted(payload, key=lambda n: n == "embeddings")
+        if "chunks" in payload and "embeddings" not in payload and any(r[:3] == ("embeddings", root, adapter) for r in base):
+            names.append("embeddings")
+        for name in names:
+            rows = payload.get(name)
             if name in BY_FILE:
-                old = self._own(name, root, adapter)
-                rows = merged(old, rows, F.col(BY_FILE[name]), changed)
+                rows = merged(self._own(name, root, adapter, base), rows, F.col(BY_FILE[name]), changed)
             elif name == "embeddings":
-                old = self._own(name, root, adapter)
-                rows = old.join(rows.select("owner_type", "owner_key"), ["owner_type", "owner_key"], "left_anti").unionByName(rows, allowMissingColumns=True)
+                old = self._own(name, root, adapter, base)
+                if "chunks" in now:
+                    keys = now["chunks"].select(F.lit("chunk").alias("owner_type"), F.col("chunk_key").alias("owner_key"))
+                    old = old.where("owner_type <> 'chunk'").unionByName(old.join(keys, ["owner_type", "owner_key"], "left_semi"), allowMissingColumns=True)
+                if rows is not None:
+                    old = old.join(rows.select("owner_type", "owner_key"), ["owner_type", "owner_key"], "left_anti").unionByName(rows, allowMissingColumns=True)
+                rows = old
             new.append(self._write(name, root, adapter, rows))
-        self._publish(self._kept(root, adapter, payload) + new)
+            now[name] = self.spark.read.schema(TABLES[name]).parquet(new[-1][3])
+        self._publish(lambda rows: self._other(rows, root, adapter, names) + new, (root, adapter), base)
 
-    def _own(self, name: str, root: str, adapter: str) -> DataFrame:
-        return self.table(name, [r for r in self.manifest() if r[1] == root and r[2] == adapter])
+    def _own(self, name: str, root: str, adapter: str, where: list[tuple] | None = None) -> DataFrame:
+        return self.table(name, [r for r in (self.manifest() if where is None else where) if r[1] == root and r[2] == adapter])
 
     def drop_stale(self, root: str, keep: Iterable[str]) -> int:
         """Drops projects at or under a root whose adapter isn't kept; without any to keep, all. How many went."""
-        keep, rows = set(keep), self.manifest()
-        stale = {(r[1], r[2]) for r in rows if (r[1] == root or r[1].startswith(root.rstrip("/") + "/")) and r[2] not in keep and r[0] != "index_runs"}
+        keep = set(keep)
+        of = lambda rows: {(r[1], r[2]) for r in rows if (r[1] == root or r[1].startswith(root.rstrip("/") + "/")) and r[2] not in keep and r[0] != "index_runs"}
+        stale = of(self.manifest())
         if stale:
-            self._publish([r for r in rows if (r[1], r[2]) not in stale])
+            self._publish(lambda rows: [r for r in rows if (r[1], r[2]) not in stale])
         return len(stale)
 
-    def log_run(self, root: str, adapter: str, run: DataFrame) -> None:
-        """Appends rows to the run log, which no replacement touches."""
-        self._publish(self.manifest() + [self._write("index_runs", root, adapter, run)])
+    def log_run(self, root: str, adapter: str, run: DataFrame, most: int = 16) -> None:
+        """Appends rows to the run log, which no replacement touches. After `most` runs a project's log is
+        written anew as one folder, so that a manifest doesn't grow with the runs."""
+        old = [r for r in self.manifest() if r[:3] == ("index_runs", root, adapter)]
+        if len(old) < most:
+            row = self._write("index_runs", root, adapter, run)
+            self._publish(lambda rows: rows + [row])
+            return
+        row = self._write("index_runs", root, adapter, self.table("index_runs", old).unionByName(run, allowMissingColumns=True).coalesce(1))
+        self._publish(lambda rows: [r for r in rows if r not in old] + [row])
 
     def status(self) -> DataFrame:
         snapshot = self.manifest()

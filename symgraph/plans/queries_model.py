@@ -102,12 +102,12 @@ def retrieval_text(spark, sf_dir):
 
 
 RETRIEVAL_TEXT = model() + """, firsts AS (
-  SELECT c.chunk_key, o.symbol, min(o.line * 1000000 + o.col) AS at
+  SELECT c.chunk_key, o.symbol, min(o.line * 1000000 + o.col) AS place
   FROM (SELECT DISTINCT doc_id, line, col, symbol FROM occ_roles WHERE role <> 'defines') o
   JOIN chunks c ON c.kind = 'block' AND c.doc_id = o.doc_id AND o.line BETWEEN c.start_line AND c.end_line GROUP BY ALL
 ), names AS (
   SELECT chunk_key, string_agg(symbol, ', ' ORDER BY nr) AS uses, count(*) AS n FROM (
-    SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY at, symbol) AS nr FROM firsts) WHERE nr <= 15 GROUP BY chunk_key
+    SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY place, symbol) AS nr FROM firsts) WHERE nr <= 15 GROUP BY chunk_key
 ), texts AS (
   SELECT p.chunk_key, coalesce(n.n, 0) AS n,
     CASE WHEN coalesce(primary_symbol, name) <> '' THEN coalesce(primary_symbol, name) || ' is a block in ' || abs_path || '.' ELSE 'A block in ' || abs_path || '.' END

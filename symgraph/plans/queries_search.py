@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as sx
 from ..functions import text as fx
-from ..operators import ranking, retrieval
+from ..operators import build, ranking, retrieval
+from ..operators.build import StoredIndex
 from ..operators.derive import Index
-from ..sources.corpus import Corpus
+from ..operators.tables import Store
+from ..session import scratch
+from ..sources.corpus import Corpus, root_of
 from . import model_sql as m
 from .router import Router
 
@@ -25,8 +28,28 @@ def vector(spark, sf_dir, vec_id: int = VECTOR) -> list[float]:
     return [float(x) for x in row[0]]
 
 
+_STORED: dict[tuple, StoredIndex] = {}
+
+
+def stored(spark, sf_dir, source: str = SOURCE) -> StoredIndex:
+    """The index of a source's documents: built at the first search of a session, and again if their tables change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings")]
+    key = (spark.sparkContext.applicationId, sf_dir, source, *(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths))
+    if key not in _STORED:
+        store = Store(spark, scratch(spark))
+        build.store_corpus(Corpus(spark, sf_dir, source), store, root_of(source))
+        _STORED[key] = StoredIndex(store, root_of(source))
+    return _STORED[key]
+
+
+def _word(symbol: str):
+    """A corpus' symbol without what symbols of a store begin with."""
+    return F.substring(symbol, len(build.CORPUS_SYMBOL) + 1, 1 << 30).alias(symbol)
+
+
 def router(spark, sf_dir) -> Router:
-    return Router(index(spark, sf_dir), lambda query: vector(spark, sf_dir))
+    return Router(stored(spark, sf_dir), lambda query: vector(spark, sf_dir))
 
 
 def lexical_chunk_search(spark, sf_dir):
@@ -229,7 +252,7 @@ FUSION_SCORES = _HYBRID + "\nSELECT chunk_key, kind, round(score, 9) AS score FR
 def seed_symbols(spark, sf_dir):
     r = router(spark, sf_dir)
     boosts = r.boosts(r.signals(QUERY, LIMIT, _hybrid_plan()))
-    return ranking.seed_symbols(boosts, r.index.links).select("symbol", F.round("weight", 9).alias("weight"))
+    return ranking.seed_symbols(boosts, r.index.links).select(_word("symbol"), F.round("weight", 9).alias("weight"))
 
 
 SEED_SYMBOLS = _HYBRID + "\nSELECT symbol, round(weight, 9) AS weight FROM seeds"
@@ -380,7 +403,7 @@ SELECT r.display_name, r.scip_symbol, r.abs_path, r.def_line, r.ambiguous, c.chu
 
 
 def references_query(spark, sf_dir):
-    return router(spark, sf_dir).references(QUERY, None).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("abs_path").alias("first_path"))
+    return router(spark, sf_dir).references(QUERY, None).groupBy(_word("symbol")).agg(F.count(F.lit(1)).alias("n"), F.min("abs_path").alias("first_path"))
 
 
 REFERENCES_QUERY = f"""{m.model(SOURCE)},\n{m.found_definitions(QUERY, 8)},\n{m.resolved(QUERY)}, seed AS (

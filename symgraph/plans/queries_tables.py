@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sx
 from ..functions import text as fx
 from ..operators import freshness, tables
+from ..session import scratch
 from ..sources import files as fs
 from ..sources.corpus import Corpus
 from .model_sql import model
 
 
-def _scratch(spark) -> str:
-    """A new store's folder in the shared folder, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 def _projects(spark, sf_dir):
     return Corpus(spark, sf_dir).files.select("root_path", "adapter_id").distinct()
 
@@ -98,7 +90,7 @@ def _snapshots(spark, sf_dir):
 _SNAPSHOTS = """old AS (SELECT 'd' || doc_id || '.txt' AS relative_path, sha256(text) AS h, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS n FROM documents WHERE doc_id % 11 <> 3
 ), now0 AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN text || chr(10) || 'changed' ELSE text END AS text FROM documents WHERE doc_id % 13 <> 5
 ), now AS (SELECT 'd' || doc_id || '.txt' AS relative_path, sha256(text) AS h, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS n FROM now0
-), both AS (SELECT coalesce(o.relative_path, c.relative_path) AS relative_path, o.h AS oh, c.h AS ch, o.n AS onn, c.n AS cn,
+), pairs AS (SELECT coalesce(o.relative_path, c.relative_path) AS relative_path, o.h AS oh, c.h AS ch, o.n AS onn, c.n AS cn,
   CASE WHEN o.h IS NULL THEN 'new' WHEN c.h IS NULL THEN 'missing' WHEN o.h <> c.h THEN 'dirty' ELSE 'clean' END AS state
   FROM old o FULL JOIN now c ON o.relative_path = c.relative_path)"""
 
@@ -107,7 +99,7 @@ def file_changes(spark, sf_dir):
     return freshness.changes(*_snapshots(spark, sf_dir)).select("relative_path", "state", "changed_lines")
 
 
-FILE_CHANGES = f"WITH {_SNAPSHOTS} SELECT relative_path, state, CAST(CASE WHEN state = 'clean' THEN 0 ELSE coalesce(cn, onn) END AS INTEGER) AS changed_lines FROM both"
+FILE_CHANGES = f"WITH {_SNAPSHOTS} SELECT relative_path, state, CAST(CASE WHEN state = 'clean' THEN 0 ELSE coalesce(cn, onn) END AS INTEGER) AS changed_lines FROM pairs"
 
 
 def freshness_full(spark, sf_dir):
@@ -118,7 +110,7 @@ def freshness_full(spark, sf_dir):
 FRESHNESS_FULL = f"""WITH {_SNAPSHOTS}, s AS (SELECT
   sum(CASE WHEN state = 'new' THEN 1 ELSE 0 END)::BIGINT AS n_new, sum(CASE WHEN state = 'missing' THEN 1 ELSE 0 END)::BIGINT AS n_missing,
   sum(CASE WHEN state = 'dirty' THEN 1 ELSE 0 END)::BIGINT AS n_dirty, sum(CASE WHEN state = 'clean' THEN 1 ELSE 0 END)::BIGINT AS n_clean,
-  count(oh) AS n_indexed, count(ch) AS n_current, sum(CASE WHEN state = 'clean' THEN 0 ELSE coalesce(cn, onn) END)::BIGINT AS changed_lines, sum(cn)::BIGINT AS total_lines FROM both)
+  count(oh) AS n_indexed, count(ch) AS n_current, sum(CASE WHEN state = 'clean' THEN 0 ELSE coalesce(cn, onn) END)::BIGINT AS changed_lines, sum(cn)::BIGINT AS total_lines FROM pairs)
 SELECT *, round((n_new + n_missing + n_dirty)::DOUBLE / greatest(n_indexed, n_current), 9) AS changed_ratio,
   round(CASE WHEN changed_lines <= 0 THEN 0.0 WHEN total_lines <= 0 THEN 1.0 ELSE least(changed_lines::DOUBLE / total_lines, 1.0) END, 9)::DOUBLE AS line_ratio,
   CASE WHEN changed_lines > 0 THEN 'stale' ELSE 'clean' END AS status FROM s"""
@@ -200,7 +192,7 @@ def full_replace(spark, sf_dir):
     """Written to a store, replaced, and read back with another project beside it."""
     c = Corpus(spark, sf_dir)
     files = c.files.select("root_path", "adapter_id", "relative_path", "abs_path", "language", fx.content_hash(F.col("text")).alias("content_hash"), fx.line_count(F.col("text")).alias("line_count"))
-    store = tables.Store(spark, _scratch(spark))
+    store = tables.Store(spark, scratch(spark))
     en, de = files.where("language = 'en'"), files.where("language = 'de'")
     store.replace("/corpus", "en-text", {"files": en.limit(3)})
     store.replace("/corpus", "de-text", {"files": de})
@@ -217,7 +209,7 @@ def incremental_store(spark, sf_dir):
     c = Corpus(spark, sf_dir)
     row = lambda df, text: df.select("relative_path", fx.content_hash(text).alias("content_hash"))
     files = c.files.where("language = 'en'").select("doc_id", "relative_path", "text")
-    store = tables.Store(spark, _scratch(spark))
+    store = tables.Store(spark, scratch(spark))
     store.replace("/corpus", "en-text", {"files": row(files, F.col("text"))})
     part = files.where("doc_id % 7 = 1")
     store.update("/corpus", "en-text", part.select("relative_path"), {"files": row(part.where("doc_id % 2 = 0"), F.concat("text", F.lit("!")))})
@@ -318,7 +310,7 @@ a AS (SELECT *, split_part(rtrim(s, '.#:/!'), '/', -1) AS n FROM u),
 b AS (SELECT *, trim(split_part(regexp_replace(regexp_replace(n, '\\)\\.$', ''), '\\(\\)$', ''), '(', 1), '`') AS py,
   trim(split_part(regexp_replace(regexp_replace(split_part(n, ':', -1), '\\)\\.$', ''), '\\(\\)$', ''), '(', 1), '`') AS go FROM a)
 SELECT page_id, CASE WHEN regexp_matches(go, '[#.][^#.]+$') THEN regexp_extract(go, '([^#.]+)$', 1) WHEN go <> '' THEN go ELSE s END AS name,
-  CASE WHEN py <> '' THEN py ELSE s END AS python_name, replace(replace(url, '/', ' '), ' ', '-') AS unit,
+  CASE WHEN py <> '' THEN py ELSE s END AS python_name, replace(trim(replace(url, '/', ' ')), ' ', '-') AS unit,
   trim(regexp_replace(lower(url), '[^a-z0-9]', '_', 'g'), '_') AS suffix FROM b"""
 
 

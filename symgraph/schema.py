@@ -8,7 +8,7 @@ _S, _I, _L, _D, _B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType
 
 
 def _struct(text: str) -> T.StructType:
-    kinds = {"s": _S, "i": _I, "l": _L, "d": _D, "b": _B, "t": T.TimestampType(), "v": T.ArrayType(T.FloatType(), False)}
+    kinds = {"s": _S, "i": _I, "l": _L, "d": _D, "b": _B, "t": T.TimestampType(), "v": T.ArrayType(T.FloatType(), True)}
     return T.StructType([T.StructField(name, kinds[kind], True) for name, kind in (x.split(":") for x in text.split())])
 
 

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scoring as sx
 from ..functions import text as fx
 
 BLOCK_LINES = 5
@@ -68,10 +69,13 @@ class Corpus:
 
     @cached_property
     def definitions(self) -> DataFrame:
-        """A row a symbol and root: where it first stands. Partial minima, so common words are no hot task."""
-        first = F.min(F.struct("doc_id", "line", "col")).alias("d")
-        out = self.words.groupBy("root_path", "symbol").agg(first)
-        return out.select("root_path", "symbol", F.col("d.doc_id").alias("doc_id"), F.col("d.line").alias("line"), F.col("d.col").alias("col"))
+        """A row a symbol and root: where it first stands. Partial minima, so common words are no hot task; of
+        document, line and column in one number, so that they are found by hashing, without sorting the words."""
+        document = F.lit(sx.PLACE_COLS * sx.PLACE_COLS).cast("decimal(19,0)")
+        at = F.col("doc_id").cast("decimal(19,0)") * document + sx.place(F.col("line"), F.col("col")).cast("decimal(19,0)")
+        out = self.words.groupBy("root_path", "symbol").agg(F.min(at.cast("decimal(38,0)")).alias("d"))
+        out = out.withColumn("doc_id", F.expr(f"d div {sx.PLACE_COLS * sx.PLACE_COLS}")).withColumn("at", (F.col("d") % document).cast("long"))
+        return out.select("root_path", "symbol", "doc_id", F.shiftright("at", 31).cast("int").alias("line"), F.col("at").bitwiseAND(F.lit(sx.PLACE_COLS - 1)).cast("int").alias("col"))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -85,13 +89,14 @@ class Corpus:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        """words with is_definition, is_import, is_write, is_read and syntax_kind."""
-        defs = self.definitions.select(
-            F.col("root_path").alias("r"), F.col("symbol").alias("s"), F.col("doc_id").alias("d"), F.col("line").alias("l"), F.col("col").alias("c")
-        )
-        here = self.words
-        same = (F.col("root_path") == F.col("r")) & (F.col("symbol") == F.col("s")) & (F.col("doc_id") == F.col("d")) & (F.col("line") == F.col("l")) & (F.col("col") == F.col("c"))
-        out = here.join(defs, same, "left").withColumn("is_definition", F.col("s").isNotNull())
+        """words with is_definition, is_import, is_write, is_read and syntax_kind. Definitions meet the lines, of which
+        there are far fewer than words."""
+        defs = self.definitions.groupBy(F.col("doc_id").alias("d"), F.col("line").alias("l")).agg(F.collect_list("col").alias("defs"))
+        lines = self.lines.select("doc_id", "root_path", "line", "line_text")
+        lines = lines.join(defs, (F.col("doc_id") == F.col("d")) & (F.col("line") == F.col("l")), "left")
+        words = lines.select("doc_id", "root_path", "line", "defs", F.posexplode(F.split("line_text", " ")).alias("col", "word"))
+        here = words.withColumn("symbol", self.symbol_of(F.col("word"))).where(F.octet_length("symbol") >= fx.MIN_TERM_BYTES)
+        out = here.withColumn("is_definition", F.coalesce(F.array_contains("defs", F.col("col")), F.lit(False)))
         imported = ~F.col("is_definition") & (F.col("line") == 0)
         other = ~F.col("is_definition") & (F.col("line") > 0)
         return out.select(
@@ -100,34 +105,37 @@ class Corpus:
             F.when(F.col("col") % 2 == 0, "identifier").otherwise("").alias("syntax_kind"),
         )
 
+    def _pieces(self, with_text: bool) -> DataFrame:
+        """Chunks, made from the lines within a document's row: only its own text goes on with a chunk."""
+        size = F.size("lines")
+        piece = lambda kind, start, end, text: F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), text.alias("text"))
+        until = lambda b: F.least(b * BLOCK_LINES + BLOCK_LINES, size)
+        joined = lambda b: F.array_join(F.slice("lines", b * BLOCK_LINES + 1, F.lit(BLOCK_LINES)), "\n")
+        head = lambda b: F.get("lines", b * BLOCK_LINES)
+        module = F.array(piece("module", F.lit(0), size - 1, F.col("text") if with_text else F.get("lines", F.lit(0))))
+        numbers = F.sequence(F.lit(0), F.floor((size - 1) / BLOCK_LINES).cast("int"))
+        blocks = F.transform(numbers, lambda b: piece("block", b * BLOCK_LINES, until(b) - 1, joined(b) if with_text else head(b)))
+        each = F.transform("lines", lambda x, k: piece("line", k, k, x))
+        files = self.files.select("doc_id", "root_path", "abs_path", "text", F.split("text", "\n").alias("lines"))
+        out = files.select("doc_id", "root_path", "abs_path", F.explode(F.concat(module, blocks, each)).alias("c"))
+        path = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+        key = fx.chunk_key(path, F.col("c.start_line"), F.col("c.end_line"), F.col("c.kind")).alias("chunk_key")
+        return out.select("doc_id", "root_path", "abs_path", "c.kind", "c.start_line", "c.end_line", key, F.col("c.text").alias("text"))
+
     @cached_property
     def chunks(self) -> DataFrame:
         """Modules, blocks and lines: doc_id, root_path, abs_path, kind, start_line, end_line, chunk_key, name."""
-        n = F.size(F.split("text", "\n"))
-        files = self.files.select("doc_id", "root_path", "abs_path", "text", n.alias("n"))
-        module = F.array(F.struct(F.lit("module").alias("kind"), F.lit(0).alias("start_line"), (F.col("n") - 1).alias("end_line")))
-        blocks = F.transform(
-            F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK_LINES).cast("int")),
-            lambda b: F.struct(F.lit("block").alias("kind"), (b * BLOCK_LINES).alias("start_line"), F.least(b * BLOCK_LINES + BLOCK_LINES - 1, F.col("n") - 1).alias("end_line")),
-        )
-        each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.lit("line").alias("kind"), k.alias("start_line"), k.alias("end_line")))
-        out = files.withColumn("lines", F.split("text", "\n")).withColumn("c", F.explode(F.concat(module, blocks, each)))
-        head = F.get("lines", F.col("c.start_line"))
-        name = self.symbol_of(F.substring_index(head, " ", 1))
-        return out.select(
-            "doc_id", "root_path", "abs_path", "c.kind", "c.start_line", "c.end_line",
-            fx.chunk_key(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")), F.col("c.start_line"), F.col("c.end_line"), F.col("c.kind")).alias("chunk_key"),
-            name.alias("name"),
-        )
+        return self._named(self._pieces(False)).drop("text")
 
     @cached_property
     def chunk_texts(self) -> DataFrame:
         """chunks with text and header_text."""
-        rows = self.files.select(F.col("doc_id").alias("t_id"), F.split("text", "\n").alias("lines"))
-        out = self.chunks.join(rows, F.col("doc_id") == F.col("t_id")).drop("t_id")
-        text = F.array_join(F.slice("lines", F.col("start_line") + 1, F.col("end_line") - F.col("start_line") + 1), "\n")
-        out = out.withColumn("text", text).drop("lines")
-        return out.withColumn("header_text", F.substring_index("text", "\n", 1))
+        return self._named(self._pieces(True)).withColumn("header_text", F.substring_index("text", "\n", 1))
+
+    def _named(self, pieces: DataFrame) -> DataFrame:
+        """The name is the first line's first word."""
+        first = F.substring_index(F.substring_index("text", "\n", 1), " ", 1)
+        return pieces.withColumn("name", self.symbol_of(first))
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +41,49 @@ LOW_VALUE_ENDS = ("_test.go", ".test.ts", ".test.js", ".spec.ts", ".spec.js", "_
 LOW_VALUE_START, LOW_VALUE_DIRECTORY = "test_", "testdata"
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """relative_path, path and bytes of all files under a root, hidden and empty ones too, by the file system itself:
+    Spark's own listing leaves those out. A row a file is all that the driver holds."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.getFileStatus(top).getPath().toString().rstrip("/")
+    found, files = fs.listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath().toString()
+        files.append((path[len(base) + 1 :], path, f.getLen()))
+    return spark.createDataFrame(files, "relative_path string, path string, bytes long")
+
+
+def _contents(batches: Iterator) -> Iterator:
+    """Bytes of files, a row at a time."""
+    import pyarrow as pa
+    from pyarrow.fs import FileSystem
+
+    for b in batches:
+        for name, path, size in zip(*(b.column(c).to_pylist() for c in ("relative_path", "path", "bytes")), strict=True):
+            fs, at = FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", path), safe=":/"))
+            with fs.open_input_stream(at) as f:
+                data = f.read()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["relative_path", "bytes", "content"])
+
+
+def with_contents(files: DataFrame, root: str) -> DataFrame:
+    """listing() of a root with content, read in executors: by Spark, and those that its listing passes over,
+    below names that begin with _ or ., one by one."""
+    hidden = F.exists(F.split("relative_path", "/"), lambda p: p.startswith("_") | p.startswith("."))
+    columns = ("relative_path", "bytes", "content")
+    data = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("p"), "content")
+    seen = files.where(~hidden & (F.col("bytes") > 0)).join(data, F.col("path") == F.col("p")).select(*columns)
+    others = files.where(hidden & (F.col("bytes") > 0)).mapInArrow(_contents, "relative_path string, bytes long, content binary")
+    empty = files.where("bytes = 0").select("relative_path", "bytes", F.lit(b"").alias("content"))
+    return seen.unionByName(others).unionByName(empty)
+
+
 def tree(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """Files under a root: relative_path, content, bytes, content_hash, line_count."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.col("path"), f"^[a-z]+:/*{re.escape(base.lstrip('/'))}/", "")
-    out = files.select(rel.alias("relative_path"), F.col("length").alias("bytes"), "content")
+    out = with_contents(listing(spark, root), root)
     text = F.decode("content", "UTF-8")
     out = out.select("relative_path", "bytes", "content", F.sha2("content", 256).alias("content_hash"), fx.line_count(text).alias("line_count"))
     return out if with_content else out.drop("content")
