@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,10 @@ CHUNK = 1 << 16
 #: Texts of more bytes are cut into parts, which go to as many tasks.
 HUGE = 1 << 23
 PART = 1 << 22
+#: Rows of a group that are compared in one stream; larger groups take several.
+SPAN = 256
+#: What texts may be equal by: the fingerprint and the length.
+PRINT = ("f1", "f2", "f3", "f4", "size")
 
 
 @cache
@@ -60,8 +64,8 @@ def fingerprint(data: bytes) -> tuple[int, ...]:
     return h
 
 
-def _normal_rows(batches: Iterator) -> Iterator:
-    """doc_id, text -> doc_id, norm, sha, f1..f4."""
+def _prints(batches: Iterator) -> Iterator:
+    """doc_id, th, text -> doc_id, th, size, sha, f1..f4."""
     import hashlib
 
     import pyarrow as pa
@@ -69,9 +73,9 @@ def _normal_rows(batches: Iterator) -> Iterator:
     for b in batches:
         norm = [t.encode().lower() for t in b.column("text").to_pylist()]  # of bytes: A-Z only
         prints = [fingerprint(t) for t in norm]
-        columns = [b.column("doc_id"), pa.array(norm, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in norm])]
+        columns = [b.column("doc_id"), b.column("th"), pa.array([len(t) for t in norm], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in norm])]
         columns += [pa.array([f[k] for f in prints], pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "norm", "sha", "f1", "f2", "f3", "f4"])
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "size", "sha", "f1", "f2", "f3", "f4"])
 
 
 def _part_rows(batches: Iterator) -> Iterator:
@@ -85,30 +89,35 @@ def _part_rows(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "at", "f1", "f2", "f3", "f4"])
 
 
-PRINTED = "doc_id long, norm binary, sha string, f1 long, f2 long, f3 long, f4 long"
+PRINTED = "doc_id long, th long, size long, sha string, f1 long, f2 long, f3 long, f4 long"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return rows_of(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
 def fingerprinted(docs: DataFrame, huge: int = HUGE, part: int = PART) -> DataFrame:
-    """doc_id, norm (the lower-cased text's bytes), sha (its SHA-256), f1 to f4 (its fingerprint).
+    """doc_id, th, and of the lower-cased text its size in bytes, sha (SHA-256) and f1 to f4 (its fingerprint).
 
     A huge text's parts are hashed in tasks of their own; shifted by the bytes that follow, their
     hashes only need adding up.
     """
-    rows = rows_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string")))
-    usual = rows.where(F.octet_length("text") <= huge).select("doc_id", "text").mapInArrow(_normal_rows, PRINTED)
+    rows = _rows(docs)
+    usual = rows.where(F.octet_length("text") <= huge).select("doc_id", "th", "text").mapInArrow(_prints, PRINTED)
     large = rows.where(F.octet_length("text") > huge).select("doc_id", "th", ascii_lower(F.col("text")).cast("binary").alias("norm"))
     size = F.octet_length("norm")
     starts = F.explode(F.sequence(F.lit(0), ((size - 1) / part).cast("int")))
     parts = large.select("doc_id", "th", "norm", size.alias("size"), starts.alias("at"))
     cut = F.substring(F.col("norm"), F.col("at") * part + 1, F.lit(part))
     parts = parts.select("doc_id", "th", "at", cut.alias("part"), F.greatest(F.col("size") - (F.col("at") + 1) * part, F.lit(0)).cast("long").alias("after"))
-    hashed = parts.repartition("doc_id", "at").mapInArrow(_part_rows, "doc_id long, th long, at int, f1 long, f2 long, f3 long, f4 long")
+    hashed = parts.repartition("doc_id", "th", "at").mapInArrow(_part_rows, "doc_id long, th long, at int, f1 long, f2 long, f3 long, f4 long")
     once = hashed.dropDuplicates(["doc_id", "th", "at"])  # rows that repeat have the same parts
     sums = once.groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(
         *((F.sum(f"f{k + 1}") % F.lit(p)).alias(f"f{k + 1}") for k, p in enumerate(PRIMES))
     )
-    whole = large.join(sums, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
-    return usual.unionByName(whole.select("doc_id", "norm", F.sha2("norm", 256).alias("sha"), "f1", "f2", "f3", "f4"))
+    whole = large.select("doc_id", "th", size.cast("long").alias("size"), F.sha2("norm", 256).alias("sha"))
+    whole = whole.join(sums, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
+    return usual.unionByName(whole.drop("p_id", "p_th"))
 
 
 def same_bytes(a: bytes, b: bytes, chunk: int = CHUNK) -> bool:
@@ -120,15 +129,17 @@ def same_bytes(a: bytes, b: bytes, chunk: int = CHUNK) -> bool:
 
 
 def _compared(batches: Iterator) -> Iterator:
-    """Rows in order of fingerprint, hash and doc_id: numbers the different texts of a fingerprint and hash, and
-    marks rows that repeat the doc_id before. Holds one text of each such number, and one batch."""
+    """Rows in order of their key and doc_id: numbers the different texts of a key, and marks rows that repeat the
+    doc_id before. Holds one text of each such number, and one batch."""
     import pyarrow as pa
 
     key, texts, last = None, [], None
     for b in batches:
         cls, again = [], []
-        prints = zip(*(b.column(c).to_pylist() for c in ("f1", "f2", "f3", "f4", "sha")), strict=True)
-        for now, doc_id, text in zip(prints, b.column("doc_id").to_pylist(), b.column("norm").to_pylist(), strict=True):
+        names = [n for n in b.schema.names if n not in ("doc_id", "th", "sha", "norm", "copy")]
+        keys = zip(*(b.column(c).to_pylist() for c in names), strict=True)
+        copies = b.column("copy").to_pylist() if "copy" in b.schema.names else [False] * len(b)
+        for now, doc_id, text, copy in zip(keys, b.column("doc_id").to_pylist(), b.column("norm").to_pylist(), copies, strict=True):
             if now != key:
                 key, texts, last = now, [], None
             at = next((k for k, t in enumerate(texts) if same_bytes(t, text)), len(texts))
@@ -136,33 +147,69 @@ def _compared(batches: Iterator) -> Iterator:
                 texts.append(text)
             cls.append(at)
             again.append(last == (doc_id, at))
-            last = (doc_id, at)
-        columns = [b.column(c) for c in ("doc_id", "sha", "f1", "f2", "f3", "f4")] + [pa.array(cls, pa.int32()), pa.array(again, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sha", "f1", "f2", "f3", "f4", "cls", "again"])
+            last = None if copy else (doc_id, at)
+        kept = [n for n in b.schema.names if n != "norm"]
+        columns = [b.column(c) for c in kept] + [pa.array(cls, pa.int32()), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, [*kept, "cls", "again"])
 
 
-def exact_duplicates(docs: DataFrame, huge: int = HUGE, part: int = PART) -> DataFrame:
+def compared(docs: DataFrame, members: DataFrame, span: int = SPAN) -> DataFrame:
+    """members: doc_id, th, PRINT, sha, n (rows of the print) and leader (a doc_id of it), each once. Each row of
+    docs that is one of them, with cls, the number of its text among those of its print, and again.
+
+    The rows of a print are compared in streams of about span rows. Where there are several, each begins with a
+    copy of the leader's text, so that 0 is the leader's text in all of them; other numbers then only
+    hold within a stream.
+    """
+    own = members.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), *PRINT, "sha", "n", "leader")
+    rows = _rows(docs).withColumn("t_size", F.octet_length("text").cast("long"))
+    rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")) & (F.col("t_size") == F.col("size")))
+    streams = F.ceil(F.col("n") / span)
+    key = [*PRINT, "n", "stream"]
+    rows = rows.withColumn("stream", F.pmod(F.xxhash64("doc_id"), streams)).withColumn("norm", ascii_lower(F.col("text")).cast("binary"))
+    rows = rows.select(*key, "doc_id", "th", "sha", "leader", "norm", F.lit(False).alias("copy"))
+    leaders = rows.where((F.col("n") > span) & F.col("doc_id").eqNullSafe(F.col("leader"))).dropDuplicates(list(PRINT))
+    leaders = leaders.withColumn("stream", F.explode(F.sequence(F.lit(0).cast("long"), streams - 1))).withColumn("copy", F.lit(True))
+    both = rows.unionByName(leaders).drop("leader")
+    both = both.repartition(*key).sortWithinPartitions(*key, F.desc("copy"), "doc_id")
+    schema = ", ".join(f"{c} long" for c in key) + ", doc_id long, th long, sha string, copy boolean, cls int, again boolean"
+    return both.select(*key, "doc_id", "th", "sha", "norm", "copy").mapInArrow(_compared, schema).where("NOT copy").drop("copy", "stream")
+
+
+def exact_duplicates(docs: DataFrame, huge: int = HUGE, part: int = PART, span: int = SPAN) -> DataFrame:
     """A row a document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are after A-Z are lower-cased; null counts as empty. Of equal texts that with the
     largest doc_id is kept; if rows repeat that doc_id, one of them. Null doc_ids come last: one row
     is kept, with a null keep_id, where all doc_ids of a group are null. No rows: no rows.
 
-    Rows are sorted through all partitions by fingerprint, hash and doc_id, so a group of any size
-    spreads over as many tasks as its bytes need, and each is read as a stream, every text being
-    compared with the one held. The SHA-256 of the result is part of the order; at the edge of
-    a partition, where the text before is out of reach, it stands for the comparison.
+    Fingerprints alone are grouped. A text whose fingerprint and length no other row has is alone; only the
+    others are read again and compared byte by byte, chunk after chunk. Texts that have the fingerprint of
+    their group's leader without being equal to it are compared anew, among themselves.
     """
-    order = ["f1", "f2", "f3", "f4", "sha", "doc_id"]
-    rows = fingerprinted(docs, huge, part).repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "doc_id long, sha string, f1 long, f2 long, f3 long, f4 long, cls int, again boolean"
-    found = written(rows.mapInArrow(_compared, schema), "compared")
-    key = ["f1", "f2", "f3", "f4", "sha", "cls"]
-    groups = found.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    prints = written(fingerprinted(docs, huge, part), "prints")
+    groups = prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("leader"))
     groups = groups.withColumn("k", rekeyed(F.col("f1"))).drop("f1")
-    both = found.withColumn("k", rekeyed(F.col("f1"))).join(groups, ["k", *key[1:]])
+    grouped = written(prints.withColumn("k", rekeyed(F.col("f1"))).join(groups, ["k", *PRINT[1:]]).drop("k"), "grouped")
+    todo, nr, done = grouped.where("n > 1").select("doc_id", "th", *PRINT, "sha", "n", "leader").distinct(), 0, []
+    while True:
+        # Written, so that its size is known: while it is small, only its own texts are shuffled.
+        found = written(compared(docs, written(todo, "members"), span).withColumn("nr", F.lit(nr)), "compared")
+        done.append(found.where((F.col("n") <= span) | (F.col("cls") == 0)))
+        rest = found.where((F.col("n") > span) & (F.col("cls") > 0))
+        if rest.isEmpty():
+            break
+        again = rest.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("leader"))
+        todo, nr = rest.select("doc_id", "th", *PRINT, "sha").distinct().join(again, list(PRINT)), nr + 1
+    found = reduce(DataFrame.unionByName, done)
+    key = [*PRINT, "n", "nr", "cls"]
+    whole = found.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    whole = whole.withColumn("k", rekeyed(F.col("f1"))).drop("f1")
+    found = found.withColumn("k", rekeyed(F.col("f1"))).join(whole, ["k", *key[1:]])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("again")
-    return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    found = found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    alone = grouped.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    return alone.unionByName(found)
 
 
 def query(docs: DataFrame) -> DataFrame:
