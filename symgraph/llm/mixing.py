@@ -16,22 +16,36 @@ BLOCK = 1024
 SHARD = 256
 ROUNDS = 24
 SEED = 20240607
-#: A source's documents are summed up in so many buckets, then within each: no window holds a source.
-BUCKETS = 2048
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """x's image under a pseudorandom permutation of 0 to n - 1, one for each key.
+def permuted(x: Column, n: Column, *key: Column, inverse: bool = False) -> Column:
+    """x's image under a pseudorandom permutation of 0 to n - 1, one for each key, or what has x for its image.
 
     A swap-or-not shuffle: each round pairs x with k - x modulo n, and a hash of the larger of the
-    two says whether they change places. It is a bijection for any n, without tables or retries.
+    two says whether they change places. It is a bijection for any n, without tables or retries; a
+    round undoes itself, so that the rounds from the last to the first are the inverse.
     """
 
     def turn(at: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *key), n) - at, n)
         return F.when(F.xxhash64(F.lit(SEED + 1), r, F.greatest(at, other), *key).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
+    return F.aggregate(F.sequence(F.lit(ROUNDS), F.lit(1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
+
+
+def ahead_of(counts: DataFrame, key: list[str], at: str, n: str, of: Column) -> DataFrame:
+    """counts: key, at (0 and up, once a key) and n. Adds `ahead`, the sum of n of the key's smaller at.
+
+    In two passes, over the stretches of a key's numbers and within each stretch. There are about as many
+    stretches of a key as rows in each: the root of `of`, how many numbers it may have.
+    """
+    width = F.greatest(F.ceil(F.sqrt(of)), F.lit(1))
+    rows = counts.withColumn("stretch", F.floor(F.col(at) / width))
+    totals = rows.groupBy(*key, "stretch").agg(F.sum(n).alias("total"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, "stretch", F.coalesce(F.sum("total").over(before(key, "stretch")), F.lit(0)).alias("outer"))
+    inner = F.coalesce(F.sum(n).over(before([*key, "stretch"], at)), F.lit(0))
+    return rows.withColumn("inner", inner).join(totals, [*key, "stretch"]).withColumn("ahead", F.col("inner") + F.col("outer")).drop("inner", "outer", "stretch")
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -78,15 +92,18 @@ def plan_sources(sizes: DataFrame, block: int = BLOCK, share: float = SHARE, mos
 def place(docs: DataFrame, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, th, sid, size, start: words of the source before it) and plan_sources().
 
-    start is a prefix sum in two passes: over a source's buckets of hashed doc_ids, of which there is
-    a fixed number, and over the documents of a bucket.
+    start is a prefix sum in two passes: over a source's buckets of hashed documents, and over the documents
+    of a bucket. A source has as many buckets as the root of its documents, so no window holds a source.
     """
     rows = rows_of(docs, F.col("source").cast("string").alias("source"))
     rows = written(rows.select("doc_id", "th", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size")), "sizes")
-    sources = written(plan_sources(rows.groupBy("source").agg(F.sum("size").alias("source_size")), block, share, most), "sources")
-    named = sources.select(F.col("source").alias("s_source"), "sid")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    sizes = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs")), "source_sizes")
+    sources = written(plan_sources(sizes.drop("source_docs"), block, share, most), "sources")
+    root = F.ceil(F.sqrt("source_docs")).cast("long")
+    named = sources.join(sizes.select(F.col("source").alias("d_source"), root.alias("buckets")), F.col("source").eqNullSafe(F.col("d_source")))
+    named = named.select(F.col("source").alias("s_source"), "sid", "buckets")
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source", "source")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "th"), F.col("buckets"))).drop("buckets")
     totals = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sid", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("ahead"))
@@ -105,25 +122,63 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumn("first", first).withColumn("words", end - F.col("first"))
 
 
-def slots(cut: DataFrame, sources: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MOST) -> DataFrame:
+def drawn(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """A row a slot of the mix: place (0 and up), sid, and k, the number of the slot among its source's.
+
+    Each slot draws its source by the sources' shares of the slots, so a shard's counts by source are a
+    multinomial draw, and slots are numbered by the counts of the shards before. By chance some sources are
+    drawn too often: their last slots go, in order, to the sources that were drawn too seldom, so that
+    the last shards settle the totals. The draws hang on the slots' places alone.
+    """
+    spark = sources.sparkSession
+    total = sources.agg(F.max("all_slots")).first()[0] or 0
+    shards = -(-total // shard)
+    # A draw is a number below the total; a source has those from its base on. Both meet in equal strips.
+    width = max(1, -(-total // 4096))
+    lots = sources.where("slots > 0").select("sid", "slots", "base")
+    strips = F.explode(F.sequence(F.floor(F.col("base") / width), F.floor((F.col("base") + F.col("slots") - 1) / width)))
+    strips = lots.select(F.col("sid"), "base", (F.col("base") + F.col("slots")).alias("end"), strips.alias("strip"))
+    places = spark.range(shards).select(F.explode(F.sequence(F.col("id") * shard, F.least((F.col("id") + 1) * shard, F.lit(total)) - 1)).alias("place"))
+    places = places.withColumn("draw", F.pmod(F.xxhash64(F.lit(SEED + 2), F.col("place")), F.lit(max(1, total)))).withColumn("strip", F.floor(F.col("draw") / width))
+    got = places.join(strips, "strip").where("draw >= base AND draw < end").select("place", F.floor(F.col("place") / shard).alias("shard"), "sid")
+    got = written(got, "draws")
+    counts = got.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("n"))
+    counts = ahead_of(counts, ["sid"], "shard", "n", F.lit(float(max(1, shards)))).select("sid", "shard", "ahead")
+    own = F.row_number().over(Window.partitionBy("sid", "shard").orderBy("place")) - 1
+    numbered = got.withColumn("own", own).join(counts, ["sid", "shard"]).select("place", "sid", (F.col("own") + F.col("ahead")).alias("k"))
+    numbered = written(numbered.join(lots.select("sid", "slots"), "sid"), "numbered")
+    kept = numbered.where("k < slots").select("place", "sid", "k")
+    # The slots drawn too often, numbered in order, meet the numbers that sources lack: about the root of all slots.
+    spare = numbered.where("k >= slots").select("place", F.floor(F.col("place") / shard).alias("shard"))
+    ahead = ahead_of(spare.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), [], "shard", "n", F.lit(float(max(1, shards)))).select("shard", "ahead")
+    of_shard = F.row_number().over(Window.partitionBy("shard").orderBy("place")) - 1
+    spare = spare.withColumn("own", of_shard).join(ahead, "shard").select("place", (F.col("own") + F.col("ahead")).alias("nr"))
+    had = numbered.groupBy("sid").agg(F.count(F.lit(1)).alias("had"))
+    lack = lots.join(had, "sid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
+    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+    lack = lack.withColumn("first", F.coalesce(F.sum(F.col("slots") - F.col("had")).over(before), F.lit(0)))
+    wanted = lack.select("sid", "first", "had", F.explode(F.sequence(F.col("had"), F.col("slots") - 1)).alias("k"))
+    wanted = wanted.select("sid", "k", (F.col("first") + F.col("k") - F.col("had")).alias("nr"))
+    return kept.unionByName(spare.join(wanted, "nr").select("place", "sid", "k"))
+
+
+def slots(cut: DataFrame, sources: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """A row a slot of the mix: sid, block, copy, take (words of the block), shard, slot.
 
     A source's slots run through its blocks in the order of its permutation, again and again, until its
-    quota of words is full; the last one takes part of a block. A permutation of all slots deals
-    them out to the shards: a shard's counts by source are a multinomial draw given that the
-    sources' totals are the targets', which independent draws would miss by chance.
+    quota of words is full; the last one takes part of a block. The slot's index under the permutation
+    is joined with the blocks that cut has.
     """
-    plan = sources.drop("source", "weight", "target").withColumnRenamed("sid", "p_sid")
-    out = cut.where("first = 0").select("sid", "block").join(plan, F.col("sid") == F.col("p_sid"))
-    out = out.withColumn("index", permuted(F.col("block"), F.col("blocks"), F.col("sid")))
+    plan = sources.drop("source", "weight", "target", "slots", "base", "all_slots").withColumnRenamed("sid", "p_sid")
+    out = drawn(sources, shard).join(plan, F.col("sid") == F.col("p_sid"))
+    out = out.withColumn("copy", F.floor(F.col("k") / F.col("blocks")).cast("int")).withColumn("index", F.pmod("k", F.col("blocks")))
+    out = out.withColumn("block", permuted(F.col("index"), F.col("blocks"), F.col("sid"), inverse=True))
     ahead = F.col("index") * block - F.when(F.col("index") > F.col("at"), block - F.col("short")).otherwise(0)
-    out = out.withColumn("ahead", ahead).withColumn("copy", F.explode(F.lit(list(range(most)))))
     length = F.when(F.col("block") == F.col("blocks") - 1, F.col("short")).otherwise(block)
-    room = F.col("quota") - F.col("copy") * F.col("source_size") - F.col("ahead")
-    out = out.withColumn("take", F.greatest(F.least(room, length), F.lit(0))).where("take > 0")
-    place = permuted(F.col("base") + F.col("copy") * F.col("blocks") + F.col("index"), F.col("all_slots"))
-    out = out.withColumn("place", place)
-    return out.select("sid", "block", "copy", "take", F.floor(F.col("place") / shard).alias("shard"), F.pmod("place", F.lit(shard)).alias("slot"))
+    room = F.col("quota") - F.col("copy") * F.col("source_size") - ahead
+    out = out.withColumn("take", F.greatest(F.least(room, length), F.lit(0)))
+    out = out.select("sid", "block", "copy", "take", F.floor(F.col("place") / shard).alias("shard"), F.pmod("place", F.lit(shard)).alias("slot"))
+    return out.join(cut.where("first = 0").select("sid", "block"), ["sid", "block"], "left_semi")
 
 
 def taken(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
