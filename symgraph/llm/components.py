@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rekeyed, written
+from .common import discard, rekeyed, written
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         large = _least(_both_ways(now)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large)
         ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        now = written(small.select(ends.alias("l")).select("l.*").where("u <> v").distinct(), "links")
+        before, now = now, written(small.select(ends.alias("l")).select("l.*").where("u <> v").distinct(), "links")
+        discard(before)

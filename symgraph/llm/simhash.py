@@ -2,9 +2,11 @@
 
 A fingerprint's embedding has the number of set bits of each two-bit segment, 32 counts of 0 to 2.
 The Manhattan distance of two embeddings is never above the Hamming distance of the fingerprints.
-The 32 axes are cut into seven runs; embeddings within distance 4 agree on three runs at least, so
-the grid has a cell for the counts on each three of them, 35 cells a fingerprint. Pairs of a cell
-are filtered by the Manhattan distance and then verified exactly.
+The 32 axes are cut into runs, four more than a number g; embeddings within distance 4 agree on g
+runs at least, so the grid has a cell for the counts on each g of them. g follows the number of
+different fingerprints, so that cells stay small: with three, for some millions, a fingerprint has 35
+cells, with six, for a thousand million, 210. Pairs of a cell are filtered by the Manhattan distance
+and then verified exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ MAX_BITS = 4
 SHINGLE = 4
 #: A cell with more fingerprints than this isn't paired up; see links().
 CELL = 48
+#: Fingerprints of a cell that a grid is laid out for, on average, were they random.
+MEAN_CELL = 4
 _LOW = 0x5555555555555555
 
 
@@ -88,6 +92,15 @@ def cell_masks(max_bits: int = MAX_BITS, agree: int = 3) -> list[int]:
     return [sum(c) for c in combinations(run, agree)]
 
 
+def runs_to_agree(n: int, max_bits: int = MAX_BITS) -> int:
+    """The least number of runs, three or more, that gives n random fingerprints cells of MEAN_CELL or fewer: an
+    axis has a count of 0, 1 or 2 in a quarter, a half and a quarter of them, which is 1.5 bits."""
+    for agree in range(3, 28):
+        if n <= MEAN_CELL * 2 ** (1.5 * 32 * agree / (max_bits + agree)):
+            return agree
+    return 28
+
+
 def _ball(max_bits: int) -> list[int]:
     """All words of half of max_bits set bits or fewer."""
     return [sum(1 << b for b in c) for k in range(max_bits // 2 + 1) for c in combinations(range(64), k)]
@@ -96,14 +109,17 @@ def _ball(max_bits: int) -> list[int]:
 def links(reps: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFrame:
     """reps: fp, distinct, and rep, its id. Returns u, v: links that join what is within max_bits.
 
-    All pairs of a cell of at most `cell` fingerprints are compared. Fingerprints that share a fuller
-    cell are linked another exact way, of which the cost is a fixed number of rows each: two of them
-    are within max_bits exactly if some word is within half of that from both, so each goes to
-    the 2,081 words around it, and those that meet at a word are linked to the first there. At a
-    word at most 2,081 different fingerprints can meet.
+    All pairs of a cell of at most `cell` fingerprints are compared. The grid is so fine that random
+    fingerprints don't fill a cell; clusters of thousands of near copies do, whatever the grid, and all
+    their pairs would be too many. They are linked another exact way, of which the cost is a fixed number
+    of rows each: two of them are within max_bits exactly if some word is within half of that from both,
+    so each goes to the 2,081 words around it, and those that meet at a word are linked to the first
+    there. At a word at most 2,081 different fingerprints can meet. A fingerprint so takes a row a cell
+    of the grid, and 2,081 more if it is in such a cluster, at any number of fingerprints.
     """
     embedded = reps.withColumn("e", embedding(F.col("fp")))
-    keys = [F.xxhash64(F.lit(k), F.col("e").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(cell_masks(max_bits))]
+    masks = cell_masks(max_bits, runs_to_agree(reps.count(), max_bits))
+    keys = [F.xxhash64(F.lit(k), F.col("e").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)]
     filed = embedded.select("fp", "rep", F.explode(F.array(*keys)).alias("cell"))
     one = F.struct("fp", "rep")
     cells = written(
