@@ -182,7 +182,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum(size.cast("long")).alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    placed = rows.join(offsets, "part").select(
+    # A row a partition, of which a job has some millions at most: the ids stay where they are.
+    placed = rows.join(F.broadcast(offsets), "part").select(
         "doc_id", "ids", size.cast("long").alias("doc_tokens"), (F.col("base") + F.col("ahead")).alias("at")
     )
 
