@@ -11,9 +11,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
-#: A line is boilerplate of its host when it stands in more documents than both of these say.
+#: A line is boilerplate of its host when it stands in more documents than this, and than the base-2 logarithm
+#: of the host's documents: 20 of a million.
 LINE_DOCS = 5
-LINE_SHARE = 0.05
 #: A document is depleted when fewer words than MIN_WORDS or than this share of them are left.
 LEFT_SHARE = 0.3
 
@@ -73,45 +73,75 @@ def base_stats(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row a line with words: doc_id, th, host, h1 and h2 of the line stripped and lower-cased, its words."""
+    """A row a line with words: doc_id, th, host, pos, h1 and h2 of the line stripped and lower-cased, its words."""
     rows = rows_of(docs, F.col(host).alias("host"))
-    lines = rows.select("doc_id", "th", "host", F.explode(F.split("text", "\n")).alias("line"))
+    lines = rows.select("doc_id", "th", "host", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     h1, h2 = hash_pair(F.lower(F.btrim("line", F.lit(SPACES))))
     return lines.where(_has_word(F.col("line"))).select(
-        "doc_id", "th", "host", h1.alias("h1"), h2.alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("words")
+        "doc_id", "th", "host", "pos", h1.alias("h1"), h2.alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("words")
     )
 
 
-def boilerplate(docs: DataFrame, lines: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host, h1, h2 of the lines in more than line_docs documents and line_share of the host's.
+def _documents(rows: DataFrame, copies_count_once: bool) -> DataFrame:
+    """rows with what tells documents apart: doc_id, or the text where there is none or copies count once."""
+    if copies_count_once:
+        return rows.withColumns({"by_id": F.lit(None).cast("long"), "by_text": F.col("th")})
+    return rows.withColumns({"by_id": F.col("doc_id"), "by_text": F.when(F.col("doc_id").isNull(), F.col("th"))})
 
-    Documents are counted by their texts, so copies of a document count once. Both counts first
-    leave one row a text, then count with partial sums: neither a host nor a line is a hot task.
+
+def boilerplate(docs: DataFrame, lines: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, copies_count_once: bool = False) -> DataFrame:
+    """host, h1, h2 of the lines in more distinct documents of the host than the limit, which grows far slower
+    than the host does.
+
+    Both counts first leave one row a document, then count with partial sums: neither a host nor a
+    line is a hot task.
     """
-    sizes = rows_of(docs, F.col(host).alias("host")).select("host", "th").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counts = lines.select("host", "h1", "h2", "th").distinct().groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.where(F.col("n_docs") > line_docs)
-    sizes = sizes.select(F.col("host").alias("s_host"), "host_docs")
-    over = counts.join(sizes, F.col("host").eqNullSafe(F.col("s_host"))).where(F.col("n_docs") > line_share * F.col("host_docs"))
+    of_hosts = _documents(rows_of(docs, F.col(host).alias("host")), copies_count_once).select("host", "by_id", "by_text")
+    sizes = of_hosts.distinct().groupBy(F.col("host").alias("s_host")).agg(F.count(F.lit(1)).alias("host_docs"))
+    counts = _documents(lines, copies_count_once).select("host", "h1", "h2", "by_id", "by_text").distinct()
+    counts = counts.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > line_docs)
+    over = counts.join(sizes, F.col("host").eqNullSafe(F.col("s_host"))).where(F.col("n_docs") > F.log2("host_docs"))
     return over.select("host", "h1", "h2")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def _hits(docs: DataFrame, host: str, line_docs: int, copies_count_once: bool) -> DataFrame:
+    """host_lines() with is_common: the line is boilerplate of its host."""
+    lines = host_lines(docs, host)
+    over = boilerplate(docs, lines, host, line_docs, copies_count_once)
+    left = lines.select("doc_id", "th", "pos", "words", "host", rekeyed(F.col("h1")).alias("j1"), rekeyed(F.col("h2")).alias("j2"))
+    right = over.select(F.col("host").alias("b_host"), rekeyed(F.col("h1")).alias("b1"), rekeyed(F.col("h2")).alias("b2"))
+    hit = left.join(right, (F.col("j1") == F.col("b1")) & (F.col("j2") == F.col("b2")) & F.col("host").eqNullSafe(F.col("b_host")), "left")
+    return hit.select("doc_id", "th", "host", "pos", "words", F.col("b1").isNotNull().alias("is_common"))
+
+
+def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, copies_count_once: bool = False) -> DataFrame:
+    """A row a document: doc_id, host, text without the host's boilerplate lines, n_removed (lines). Lines without
+    a word stay. Null texts are empty ones; rows that repeat are each returned; no rows: no rows."""
+    gone = _hits(docs, host, line_docs, copies_count_once).where("is_common")
+    gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), F.col("host").alias("g_host")).agg(F.collect_set("pos").alias("gone"))
+    rows = rows_of(docs, F.col(host).alias("host"))
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")) & F.col("host").eqNullSafe(F.col("g_host"))
+    kept = F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("gone", k))
+    return rows.join(gone, same, "left").select(
+        "doc_id", "host",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+    )
+
+
+def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE, copies_count_once: bool = False) -> DataFrame:
     """A row a document: doc_id, the statistics of base_stats, words_left and kept.
 
     words_left are the words outside the host's boilerplate lines. kept is false where base_failed
-    or where words_left are fewer than MIN_WORDS or left_share of the words. Null texts are empty
-    ones: no words, failed, not kept. Null hosts are one host. Rows that repeat are all returned.
-    Only hashes and counts of lines are dealt out, never texts. No rows: no rows.
+    or where words_left are fewer than MIN_WORDS or left_share of the words. A line's documents are
+    those of distinct doc_ids, a row without one being told apart by its text; with copies_count_once
+    those of distinct texts. Null texts are empty ones: no words, failed, not kept. Null hosts are one
+    host. Rows that repeat are all returned. Only hashes and counts of lines are dealt out, never
+    texts. No rows: no rows.
     """
-    lines = host_lines(docs, host)
-    over = boilerplate(docs, lines, host, line_docs, line_share)
-    left = lines.select("doc_id", "th", "words", "host", rekeyed(F.col("h1")).alias("j1"), rekeyed(F.col("h2")).alias("j2"))
-    right = over.select(F.col("host").alias("b_host"), rekeyed(F.col("h1")).alias("b1"), rekeyed(F.col("h2")).alias("b2"))
-    hit = left.join(right, (F.col("j1") == F.col("b1")) & (F.col("j2") == F.col("b2")) & F.col("host").eqNullSafe(F.col("b_host")), "left")
     # Rows that repeat a document repeat its lines: the share of words is theirs all the same.
-    shares = hit.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(
-        F.sum("words").alias("all_words"), F.sum(F.when(F.col("b1").isNotNull(), F.col("words"))).alias("common_words")
+    shares = _hits(docs, host, line_docs, copies_count_once).groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(
+        F.sum("words").alias("all_words"), F.sum(F.when(F.col("is_common"), F.col("words"))).alias("common_words")
     )
     shares = shares.where(F.col("common_words") > 0)
     both = base_stats(docs).join(shares, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), "left")
@@ -124,5 +154,5 @@ def quality_rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_D
     )
 
 
-def query(docs: DataFrame) -> DataFrame:
-    return quality_rules(docs)
+def query(docs: DataFrame, copies_count_once: bool = True) -> DataFrame:
+    return quality_rules(docs, copies_count_once=copies_count_once)

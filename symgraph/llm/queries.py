@@ -11,7 +11,7 @@ from .common import documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.query(documents(spark, sf_dir))
+    return quality_rules.query(documents(spark, sf_dir), copies_count_once=False)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
