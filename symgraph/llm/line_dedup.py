@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, hash_pair, let, rekeyed, rows_of
+from .common import SPACES, ascii_lower, hash_pair, let, rekeyed, rows_of, written
 
 MIN_DOCS = 3
 MIN_CHARS = 20
@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     only if no other does) loses all lines but those of its largest doc_id, where repeats stay.
     Rows that repeat a doc_id are one document, each row losing its own lines. No rows: no rows.
     """
-    gone = dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "gone")
+    # Written, so that its size is known: while it is small, texts need no shuffle to meet it.
+    gone = written(dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th"), "gone"), "gone")
     rows = rows_of(docs, *more)
     both = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
 
