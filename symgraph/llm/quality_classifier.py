@@ -16,13 +16,14 @@ THRESHOLD = 0.3
 SCALE = 20.0
 REMEMBERED = 300_000
 _RUNS = re.compile(r"(.)\1+", re.S)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words; longer ones, as of texts without white space, count as so many words of 32 characters.
+_WORD = re.compile(r"[^\x20\x09-\x0D]{1,32}")
 
 
 def shape(word: str) -> str:
     """The word with letters as a or A, digits as 0, and repeats left out."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:256])
-    return _RUNS.sub(r"\1", kinds)[:16]
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUNS.sub(r"\1", kinds)
 
 
 class Featurizer:
