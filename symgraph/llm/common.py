@@ -8,12 +8,13 @@ any name pass by; rows that repeat are kept as often as they came in.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import removed, shared_dir
+
 #: ASCII white space, as characters, as a Java regex class and a word's regex.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +34,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='symgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared one, removed when Python ends."""
+    """A new folder's path under the shared one, removed when Python ends, or before by discard()."""
     path = f"{shared_dir(spark)}/symgraph-{name}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
+        atexit.register(discard)
+    _written[path] = spark
     return path
 
 
@@ -59,14 +51,17 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended before: its folder is the cluster's to clean
-            return
+def discard(*tables: DataFrame) -> None:
+    """Removes written() tables that nothing reads any more; without any named, all that were written, of
+    results too. For a long session, after a result has been saved or shown."""
+    files = {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}
+    for path, spark in list(_written.items()):
+        own = path.partition(":")[2].lstrip("/")
+        if tables and not any(f.partition(":")[2].lstrip("/") == own for f in files):
+            continue
+        if spark.sparkContext._jsc is not None:  # else the session has ended before: its folder is the cluster's to clean
+            removed(spark, path)
+        del _written[path]
 
 
 def let(value: Column, use) -> Column:
