@@ -7,9 +7,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .braces import chunks as brace_chunks
+from .braces import sites as brace_sites
 from .python import chunks as python_chunks
+from .python import sites as python_sites
 
 SCHEMA = "file_path string, chunk_key string, kind string, name string, start_byte int, end_byte int, start_line int, start_col int, end_line int, end_col int, text string, header_text string"
+__all__ = ["brace_sites", "chunk_files", "extract", "language_of", "python_sites"]
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".go": "go", ".java": "java", ".rs": "rust"}
 
 

@@ -133,3 +133,53 @@ def chunks(source: bytes, language: str) -> list[tuple[str, str, int, int]]:
 def _depth(text: str, start: int, at: int) -> int:
     part = text[start:at]
     return part.count("{") - part.count("}")
+
+
+_CALLEE = re.compile(rf"(?<![\w$.]){_I}(?:\s*(?:\?\.|\.)\s*#?{_I}|\s*!(?=\s*[.(]))*(?:<[^<>(){{}};]*>)?\s*(?:\?\.)?\s*(?=\()")
+_NEXT = re.compile(rf"(?:\s*!?\s*(?:\?\.|\.)\s*#?{_I})+(?:<[^<>(){{}};]*>)?\s*(?:\?\.)?\s*(?=\()")
+_NEW = re.compile(rf"(?<![\w$.])new\s+(?={_I})")
+_RETURN = re.compile(r"(?<![\w$.])return\b")
+_NOT_CALLED = _KEYWORDS | {"import", "await", "typeof", "void", "delete", "in", "of", "do", "else", "case", "yield", "async", "with"}
+
+
+def sites(source: bytes, language: str = "typescript") -> list[tuple[str, int, int, int, int]]:
+    """(what, start_line, start_col, end_line, end_col) of callees, new expressions and return statements, lines from 0.
+
+    A callee is the chain of names before an argument list; heads of functions and methods, which are followed by
+    a body or a type, aren't calls.
+    """
+    text = source.decode("latin-1")
+    plain = blanked(text, language)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    from bisect import bisect_right
+
+    def place(at: int) -> tuple[int, int]:
+        line = bisect_right(starts, at) - 1
+        return line, at - starts[line]
+
+    heads, out, new_callees = set(), [], set()
+    for kind, name, start, _ in chunks(source, language):
+        if kind in ("method_definition", "method_signature", "abstract_method_signature"):
+            m = re.compile(rf"(?<![\w$]){re.escape(name)}\s*[?(<]").search(plain, start)
+            heads.add(m.start() if m else start)
+    for m in _NEW.finditer(plain):
+        callee = _CALLEE.match(plain, m.end())
+        end = _closed(plain, callee.end(), "(", ")") if callee else re.compile(rf"{_I}(?:\.{_I})*").match(plain, m.end()).end()
+        new_callees.add(m.end())
+        out.append(("new", *place(m.start()), *place(end)))
+    for m in _CALLEE.finditer(plain):
+        before = plain[max(0, m.start() - 40) : m.start()].rstrip()[-9:]
+        if m.start() in heads or m[0].strip() in _NOT_CALLED - {"super"} or re.search(r"\bfunction\s*\*?$", before):
+            continue
+        close = _closed(plain, m.end(), "(", ")")
+        if re.compile(r"\s*\{").match(plain, close):
+            continue
+        if m.start() not in new_callees:
+            out.append(("call", *place(m.start()), *place(m.start() + len(m[0].rstrip()))))
+        while more := _NEXT.match(plain, close):  # calls on what a call returns
+            out.append(("call", *place(m.start()), *place(close + len(more[0].rstrip()))))
+            close = _closed(plain, more.end(), "(", ")")
+    for m in _RETURN.finditer(plain):
+        end = _end(plain, m.end(), "line") or len(plain)
+        out.append(("return", *place(m.start()), *place(end)))
+    return sorted(set(out), key=lambda s: s[1:])

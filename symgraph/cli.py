@@ -1,69 +1,153 @@
-"""Commands on a corpus: index, status, search, def, refs, context."""
+"""Commands: index a source tree or a corpus of documents, status, search, def, refs, context."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .adapters import ADAPTERS, detected
 from .functions import text as fx
-from .operators import ranking
-from .operators.derive import Index
+from .operators import freshness, ranking, tree
+from .operators.build import CORPUS_ADAPTER, StoredIndex, store_corpus
 from .operators.tables import Store
 from .plans.router import DEFAULT_LIMIT, MODES, Router
 from .session import session
+from .sources import files as fs
+from .sources import git, scip
 from .sources.corpus import Corpus, root_of
 
+#: Rows of a listing that are printed at most; a status has a row a project.
+SHOWN = 1000
 
-def build_index(spark, corpus: Corpus, store: Store, root: str, adapter: str) -> None:
-    """All tables of a corpus into a store, in one published version."""
-    index = Index(corpus)
-    files = corpus.files.select("relative_path", "abs_path", "language", fx.content_hash(F.col("text")).alias("content_hash"), fx.line_count(F.col("text")).alias("line_count"))
-    chunks = index.chunks.select("chunk_key", F.col("abs_path").alias("file_path"), "kind", "name", "start_line", "end_line", "text", "header_text", "retrieval_text", "primary_symbol")
-    symbols = index.symbols.select("scip_symbol", "display_name", "kind", F.col("abs_path").alias("file_path"), F.col("def_line").alias("def_start_line"), F.col("def_col").alias("def_start_col"), "signature", "doc_summary")
-    project = spark.createDataFrame([(root,)], "name string")
-    edges = index.edges.withColumn("provenance", F.when(F.col("kind") == "reference", "scip").otherwise("hybrid"))
-    store.replace(root, adapter, {"projects": project, "files": files, "chunks": chunks, "symbols": symbols, "chunk_symbols": index.links, "edges": edges})
-    store.log_run(root, adapter, spark.range(1).select(F.current_timestamp().alias("completed_at"), F.lit("ok").alias("status")))
+
+def units_of(spark: SparkSession, root: str) -> list[tuple[str, tree.Source]]:
+    """A tree's units as sources, each with its files' content. A unit's symbol index is <adapter>.scip in the state
+    folder of the unit; units without one are passed over."""
+    files = fs.tree(spark, f"file://{root}")
+    rules = []
+    for r in files.where("relative_path = '.gitignore'").select(F.decode("content", "UTF-8")).collect():
+        rules = fs.ignore_rules(r[0])
+    out = []
+    for folder, adapter_id, manifest in detected(files):
+        adapter = ADAPTERS[adapter_id]
+        top = f"{root}/{folder}".rstrip("/")
+        artifact = f"{top}/{fs.STATE}/{adapter_id}.scip"
+        own = files if not folder else files.where(F.col("relative_path").startswith(folder + "/")).withColumn("relative_path", F.substring("relative_path", len(folder) + 2, 1 << 20))
+        own = adapter.source_files(own, rules)
+        if os.path.exists(artifact):
+            project = {"manifest_path": f"{top}/{manifest}", "scip_artifact_path": artifact, "git_commit_hash": git.head(top) if git.is_repository(top) else None}
+            out.append((adapter_id, tree.Source(top, adapter, scip.read(spark, f"file://{artifact}"), own, project=project)))
+    return out
+
+
+def index_tree(store: Store, root: str, incremental: bool = True) -> DataFrame:
+    """All units of a tree into a store: those that were indexed before only where files changed. Projects that
+    are no longer there go. Returns status()."""
+    found = units_of(store.spark, root)
+    if not found:
+        raise LookupError(f"no unit below {root} has a symbol index")
+    for adapter_id, source in found:
+        began = F.current_timestamp()
+        known = any(r[1:3] == (source.root, adapter_id) for r in store.manifest())
+        if known and incremental:
+            tree.reindex(store, source)
+        else:
+            tree.build(store, source)
+        n = store.spark.range(1).select(began.alias("started_at"), F.current_timestamp().alias("completed_at"), F.lit("ok").alias("status"))
+        store.log_run(source.root, adapter_id, n)
+    store.drop_stale(root, [adapter_id for adapter_id, _ in found])
+    return store.status()
+
+
+def refresh(store: Store, root: str) -> list[str]:
+    """What a search does first: units that changed much are indexed anew, a little: a warning is returned."""
+    warnings, again = [], False
+    for adapter_id, source in units_of(store.spark, root):
+        now = source.files.select("relative_path", "content_hash", "line_count")
+        row = freshness.of_unit(store, source.root, adapter_id, now).first()
+        if row.line_ratio >= freshness.REINDEX_RATIO:
+            tree.reindex(store, source)
+            again = True
+        elif row.line_ratio >= freshness.WARN_RATIO:
+            warnings.append(f"{source.root} ({adapter_id}): {row.changed_lines} of {row.total_lines} lines have changed since it was indexed")
+    return warnings + (["indexed again"] if again else [])
+
+
+def summary(status: DataFrame) -> str:
+    """Projects with their counts and the totals, as lines."""
+    rows = status.limit(SHOWN).collect()
+    counts = ("n_files", "n_symbols", "n_occurrences", "n_chunks")
+    lines = ["\t".join([r.root_path, r.adapter_id, *(f"{r[c]:,}" for c in counts)]) for r in rows]
+    return "\n".join(["\t".join(["root", "adapter", *(c[2:] for c in counts)]), *lines, "\t".join(["total", "", *(f"{sum(r[c] for r in rows):,}" for c in counts)])])
+
+
+def shown(hits: DataFrame, with_scores: bool) -> DataFrame:
+    """Hits with labels; scores and probabilities only where they are asked for."""
+    columns = [fx.kind_label(F.col("kind")).alias("kind"), "name", "abs_path", "start_line", "end_line"]
+    return hits.orderBy("rank").select(*columns, *(["score", "probability"] if with_scores else []))
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="symgraph")
     p.add_argument("command", choices=("index", "status", "search", "def", "refs", "context"))
     p.add_argument("query", nargs="?", default="")
-    p.add_argument("--data", required=True, help="folder of the corpus' tables")
+    p.add_argument("--store", required=True)
+    p.add_argument("--root", default="", help="a source tree")
+    p.add_argument("--data", default="", help="folder of a corpus' tables")
     p.add_argument("--source", default="src0")
-    p.add_argument("--store", default="")
+    p.add_argument("--adapter")
     p.add_argument("--mode", choices=MODES, default="auto")
     p.add_argument("--limit", type=int)
     p.add_argument("--json", action="store_true")
+    p.add_argument("--scores", action="store_true")
     p.add_argument("--explain", action="store_true")
+    p.add_argument("--no-refresh", action="store_true")
     args = p.parse_args(argv)
     spark = session()
-    corpus = Corpus(spark, args.data, args.source)
+    store = Store(spark, args.store)
+    root = os.path.abspath(args.root) if args.root else root_of(args.source)
     limit = DEFAULT_LIMIT if args.limit is None else args.limit
-    router = Router(Index(corpus))
     if args.command == "index":
-        build_index(spark, corpus, Store(spark, args.store), root_of(args.source), "text")
+        if args.root:
+            print(summary(index_tree(store, root)))
+            return
+        store_corpus(Corpus(spark, args.data, args.source), store, root)
+        store.log_run(root, CORPUS_ADAPTER, spark.range(1).select(F.current_timestamp().alias("completed_at"), F.lit("ok").alias("status")))
+        print(summary(store.status()))
         return
     if args.command == "status":
-        out = Store(spark, args.store).status()
-    elif args.command == "search":
-        out = router.search(args.query, limit, args.mode)
-        out = ranking.clipped(out) if args.limit is None else out
-    elif args.command == "def":
-        out = router.definition(args.query)
-    elif args.command == "refs":
-        out = router.references(args.query, 3 if args.limit is None else limit)
-    else:
+        if args.json:
+            print("\n".join(store.status().limit(SHOWN).toJSON().collect()))
+        else:
+            print(summary(store.status()))
+        return
+    if args.root and not args.no_refresh:
+        for line in refresh(store, root):
+            print(line)
+    router = Router(StoredIndex(store, root, args.adapter))
+    if args.command == "context":
         for name, part in router.context(args.query, limit, args.mode).items():
             print(name)
-            part.show(truncate=80)
+            part.show(limit, truncate=80)
         return
+    if args.command == "search":
+        hits = router.search(args.query, limit, args.mode)
+        out = shown(ranking.clipped(hits) if args.limit is None else hits, args.scores)
+    elif args.command == "def":
+        out = router.definition(args.query)
+        candidates = router.candidates(args.query).select("display_name", "scip_symbol", "kind", "abs_path", "def_line", "signature")
+        if not args.json:
+            candidates.show(limit, truncate=80)
+            router.relations(args.query, limit).select("relation_kind", "direction", "chunk_key").show(limit, truncate=80)
+    else:
+        out = router.references(args.query, 3 if args.limit is None else limit)
     if args.explain:
         out.explain("formatted")
     if args.json:
-        print("\n".join(out.toJSON().collect()))
+        print("\n".join(out.limit(max(limit, 1)).toJSON().collect()))
     else:
         out.show(limit, truncate=80)
 

@@ -249,3 +249,10 @@ def symbol_text(kind: Column, name: Column, signature: Column, doc: Column) -> C
     """A symbol's retrieval text: labelled lines, empty parts left out."""
     part = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
     return F.concat_ws("\n", part("Kind: ", kind), part("Name: ", name), part("Signature: ", signature), part("Doc: ", doc))
+
+
+def symbol_record_text(symbols) -> Column:
+    """A symbol's text to be embedded: a line a part, with its label, empty ones left out but for the name."""
+    part = lambda label, c: F.when(symbols[c] != "", F.concat(F.lit(f"\n{label}: "), symbols[c])).otherwise("")
+    parts = (("kind", "kind"), ("file", "file_path"), ("enclosing", "enclosing_symbol"), ("signature", "signature"), ("doc", "doc_summary"), ("scip", "scip_symbol"))
+    return F.concat(F.lit("symbol: "), F.coalesce(symbols["display_name"], F.lit("")), *(F.coalesce(part(*p), F.lit("")) for p in parts))

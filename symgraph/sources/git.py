@@ -50,12 +50,12 @@ def untracked(spark: SparkSession, root: str) -> DataFrame:
 def diff(spark: SparkSession, root: str, since: str) -> DataFrame:
     """path (renames in the diff's form), added, deleted since a commit; binary files count no lines. A commit
     that git doesn't know is an error."""
-    rows = [x.split("\t", 2) for x in _git(root, "diff", "--numstat", "-M", since).splitlines() if x.count("\t") >= 2]
+    rows = [x.split("\t", 2) for x in _git(root, "diff", "--numstat", "--relative", "-M", since).splitlines() if x.count("\t") >= 2]
     number = lambda x: int(x) if x.isdigit() else 0
     return spark.createDataFrame([(p, number(a), number(d)) for a, d, p in rows], "path string, added long, deleted long")
 
 
 def changed(spark: SparkSession, root: str, since: str) -> DataFrame:
     """Paths that changed since a commit; a rename has both."""
-    lines = _git(root, "diff", "--name-status", "-M", since).splitlines()
+    lines = _git(root, "diff", "--name-status", "--relative", "-M", since).splitlines()
     return _paths(spark, (p for x in lines for p in x.split("\t")[1:]))

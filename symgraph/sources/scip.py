@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,12 +172,12 @@ def _kind(number: Column, names: dict[int, str]) -> Column:
     return F.coalesce(fx.enum_label(F.element_at(F.create_map(*pairs), number)), F.lit(""))
 
 
-def symbols(docs: DataFrame) -> DataFrame:
+def symbols(docs: DataFrame, shown: Callable[[Column], Column] = fx.display_name) -> DataFrame:
     """Symbol records: externals first, then documents in order, the last one of a symbol holds."""
     rows = docs.select("artifact", "doc_ord", "relative_path", F.posexplode("symbols").alias("nr", "s")).where("s.symbol <> ''")
     w = Window.partitionBy("artifact", "s.symbol").orderBy(F.desc("doc_ord"), F.desc("nr"))
     rows = rows.withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    name = fx.first_non_empty(F.col("s.display_name"), fx.display_name(F.col("s.symbol")))
+    name = fx.first_non_empty(F.col("s.display_name"), shown(F.col("s.symbol")))
     return rows.select(
         F.col("s.symbol").alias("scip_symbol"), name.alias("display_name"), fx.first_non_empty(_kind(F.col("s.kind"), SYMBOL_KINDS), F.lit("symbol")).alias("kind"),
         F.col("relative_path").alias("file_path"), F.col("s.signature").alias("signature"), fx.doc_summary(F.col("s.documentation")).alias("doc_summary"),
@@ -205,20 +205,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select(
         "file_path", "doc_ord", "occ_ord", F.col("o.symbol").alias("symbol"), "r.start_line", "r.start_col", "r.end_line", "r.end_col",
         F.col("e.start_line").alias("enclosing_start_line"), F.col("e.start_col").alias("enclosing_start_col"), F.col("e.end_line").alias("enclosing_end_line"), F.col("e.end_col").alias("enclosing_end_col"),
-        bits.alias("role_bits"), _kind(F.col("o.syntax_kind"), SYNTAX_KINDS).alias("syntax_kind"), *(sx.has_bit(bits, b).alias(n) for n, b in flags.items()),
+        bits.alias("role_bits"), fx.first_non_empty(_kind(F.col("o.syntax_kind"), SYNTAX_KINDS), F.lit("reference")).alias("syntax_kind"), *(sx.has_bit(bits, b).alias(n) for n, b in flags.items()),
     )
 
 
-def located(found: DataFrame, occ: DataFrame) -> DataFrame:
-    """symbols with the place of their last definition, and records for defined symbols that have none."""
-    places = occ.where("is_definition AND symbol <> ''").groupBy("symbol").agg(
-        F.max_by(F.struct("file_path", "start_line", "start_col", "end_line", "end_col"), F.struct("doc_ord", "occ_ord")).alias("d")
-    )
+def contains_edges(docs: DataFrame) -> DataFrame:
+    """From the symbol that a symbol's record says it stands in."""
+    rows = docs.where("NOT is_external").select(F.explode("symbols").alias("s")).where("s.enclosing_symbol <> '' AND s.symbol <> ''")
+    return rows.select(F.col("s.enclosing_symbol").alias("src_symbol"), F.col("s.symbol").alias("dst_symbol"), F.lit("contains").alias("kind"), F.lit("scip").alias("provenance")).distinct()
+
+
+def located(found: DataFrame, occ: DataFrame, shown: Callable[[Column], Column] = fx.display_name) -> DataFrame:
+    """symbols with the place of their last definition, its enclosing range, and records for symbols that only
+    occur. A symbol is of the file that defines it last."""
+    place = F.struct("file_path", *(F.col(f"enclosing_{c}").alias(c) for c in ("start_line", "start_col", "end_line", "end_col")))
+    order = F.when(F.col("is_definition"), F.struct("doc_ord", "occ_ord"))
+    places = occ.where("symbol <> ''").groupBy("symbol").agg(F.max_by(place, order).alias("d"))
     both = found.join(places, F.col("scip_symbol") == F.col("symbol"), "full_outer")
     symbol = F.coalesce("scip_symbol", "symbol")
     return both.select(
-        symbol.alias("scip_symbol"), F.coalesce("display_name", fx.display_name(F.col("symbol"))).alias("display_name"), F.coalesce("kind", F.lit("symbol")).alias("kind"),
-        F.coalesce("d.file_path", found["file_path"]).alias("file_path"), F.col("d.start_line").alias("def_start_line"), F.col("d.start_col").alias("def_start_col"),
+        symbol.alias("scip_symbol"), F.coalesce("display_name", shown(F.col("symbol"))).alias("display_name"), F.coalesce("kind", F.lit("symbol")).alias("kind"),
+        F.coalesce("d.file_path", found["file_path"], F.lit("")).alias("file_path"), F.col("d.start_line").alias("def_start_line"), F.col("d.start_col").alias("def_start_col"),
         F.col("d.end_line").alias("def_end_line"), F.col("d.end_col").alias("def_end_col"), F.coalesce("signature", F.lit("")).alias("signature"),
         F.coalesce("doc_summary", F.lit("")).alias("doc_summary"), F.coalesce("enclosing_symbol", F.lit("")).alias("enclosing_symbol"),
     )

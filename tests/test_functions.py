@@ -46,7 +46,7 @@ def test_texts(spark):
     assert values(spark, ["", "a", "a\n", "a\nb", "\n\n"], fx.line_count) == [0, 1, 1, 2, 2]
     assert values(spark, ["é" * 90], fx.header_text) == ["é" * 80]
     assert values(spark, ["aé"], lambda c: fx.first_bytes(c, 2)) == ["a"]
-    assert values(spark, ["func f() {\n x", "  if a; {", "x" * 9], lambda c: fx.code_preview(c, 8)) == ["func f()", "if a", "x" * 8 + "..."]
+    assert values(spark, ["func f() {\n x", "  if a; {", "x" * 9], lambda c: fx.code_preview(c, 8)) == ["func f()", "if a;", "x" * 8 + "..."]
     assert values(spark, ["a\nb\nc\nd", "a\nb"], lambda c: fx.truncate_lines(c, 2)) == ["a\nb\n\n... (2 lines left out)", "a\nb"]
     assert values(spark, ["```go\nfunc  f()\n```", "a\n\n b"], fx.flatten_doc) == ["func f()", "a b"]
     assert values(spark, ["```go\n x \n```\n\ny"], fx.strip_code_fences) == ["x y"]
