@@ -64,18 +64,23 @@ def fingerprint(data: bytes) -> tuple[int, ...]:
     return h
 
 
-def _prints(batches: Iterator) -> Iterator:
-    """doc_id, th, text -> doc_id, th, size, sha, f1..f4."""
-    import hashlib
+def _prints(with_text: bool):
+    """doc_id, th, text -> doc_id, th, size, sha, f1..f4, and norm if texts are wanted."""
 
-    import pyarrow as pa
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
 
-    for b in batches:
-        norm = [t.encode().lower() for t in b.column("text").to_pylist()]  # of bytes: A-Z only
-        prints = [fingerprint(t) for t in norm]
-        columns = [b.column("doc_id"), b.column("th"), pa.array([len(t) for t in norm], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in norm])]
-        columns += [pa.array([f[k] for f in prints], pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "size", "sha", "f1", "f2", "f3", "f4"])
+        import pyarrow as pa
+
+        for b in batches:
+            norm = [t.encode().lower() for t in b.column("text").to_pylist()]  # of bytes: A-Z only
+            prints = [fingerprint(t) for t in norm]
+            columns = [b.column("doc_id"), b.column("th"), pa.array([len(t) for t in norm], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in norm])]
+            columns += [pa.array([f[k] for f in prints], pa.int64()) for k in range(4)]
+            columns += [pa.array(norm, pa.binary())] if with_text else []
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "size", "sha", "f1", "f2", "f3", "f4", *(["norm"] if with_text else [])])
+
+    return run
 
 
 def _part_rows(batches: Iterator) -> Iterator:
@@ -96,14 +101,15 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows_of(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
 
 
-def fingerprinted(docs: DataFrame, huge: int = HUGE, part: int = PART) -> DataFrame:
-    """doc_id, th, and of the lower-cased text its size in bytes, sha (SHA-256) and f1 to f4 (its fingerprint).
+def fingerprinted(docs: DataFrame, huge: int = HUGE, part: int = PART, with_text: bool = False) -> DataFrame:
+    """doc_id, th, and of the lower-cased text its size in bytes, sha (SHA-256), f1 to f4 (its fingerprint) and, if
+    wanted, norm (its bytes).
 
     A huge text's parts are hashed in tasks of their own; shifted by the bytes that follow, their
     hashes only need adding up.
     """
     rows = _rows(docs)
-    usual = rows.where(F.octet_length("text") <= huge).select("doc_id", "th", "text").mapInArrow(_prints, PRINTED)
+    usual = rows.where(F.octet_length("text") <= huge).select("doc_id", "th", "text").mapInArrow(_prints(with_text), PRINTED + ", norm binary" * with_text)
     large = rows.where(F.octet_length("text") > huge).select("doc_id", "th", ascii_lower(F.col("text")).cast("binary").alias("norm"))
     size = F.octet_length("norm")
     starts = F.explode(F.sequence(F.lit(0), ((size - 1) / part).cast("int")))
@@ -115,7 +121,7 @@ def fingerprinted(docs: DataFrame, huge: int = HUGE, part: int = PART) -> DataFr
     sums = once.groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(
         *((F.sum(f"f{k + 1}") % F.lit(p)).alias(f"f{k + 1}") for k, p in enumerate(PRIMES))
     )
-    whole = large.select("doc_id", "th", size.cast("long").alias("size"), F.sha2("norm", 256).alias("sha"))
+    whole = large.select("doc_id", "th", size.cast("long").alias("size"), F.sha2("norm", 256).alias("sha"), *(["norm"] if with_text else []))
     whole = whole.join(sums, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
     return usual.unionByName(whole.drop("p_id", "p_th"))
 
@@ -153,27 +159,28 @@ def _compared(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays(columns, [*kept, "cls", "again"])
 
 
-def compared(docs: DataFrame, members: DataFrame, span: int = SPAN) -> DataFrame:
-    """members: doc_id, th, PRINT, sha, n (rows of the print) and leader (a doc_id of it), each once. Each row of
-    docs that is one of them, with cls, the number of its text among those of its print, and again.
+def compared(docs: DataFrame, groups: DataFrame, huge: int = HUGE, part: int = PART, span: int = SPAN) -> DataFrame:
+    """groups: PRINT, n (its rows) and leader (a doc_id of it), each print once. The rows of docs that have one of
+    these prints: doc_id, th, sha, PRINT, n, and cls, the number of the text among those of its print, and again.
 
     The rows of a print are compared in streams of about span rows. Where there are several, each begins with a
     copy of the leader's text, so that 0 is the leader's text in all of them; other numbers then only
     hold within a stream.
     """
-    own = members.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), *PRINT, "sha", "n", "leader")
-    rows = _rows(docs).withColumn("t_size", F.octet_length("text").cast("long"))
-    rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")) & (F.col("t_size") == F.col("size")))
     streams = F.ceil(F.col("n") / span)
     key = [*PRINT, "n", "stream"]
-    rows = rows.withColumn("stream", F.pmod(F.xxhash64("doc_id"), streams)).withColumn("norm", ascii_lower(F.col("text")).cast("binary"))
-    rows = rows.select(*key, "doc_id", "th", "sha", "leader", "norm", F.lit(False).alias("copy"))
-    leaders = rows.where((F.col("n") > span) & F.col("doc_id").eqNullSafe(F.col("leader"))).dropDuplicates(list(PRINT))
-    leaders = leaders.withColumn("stream", F.explode(F.sequence(F.lit(0).cast("long"), streams - 1))).withColumn("copy", F.lit(True))
-    both = rows.unionByName(leaders).drop("leader")
-    both = both.repartition(*key).sortWithinPartitions(*key, F.desc("copy"), "doc_id")
+    own = groups.withColumn("k", rekeyed(F.col("f1"))).drop("f1")
+    texts = lambda rows: fingerprinted(rows, huge, part, True).withColumn("k", rekeyed(F.col("f1"))).join(own, ["k", *PRINT[1:]]).drop("k")
+    columns = [*key, "doc_id", "th", "sha", "norm", "copy"]
+    rows = texts(docs).withColumn("stream", F.pmod(F.xxhash64("doc_id"), streams)).withColumn("copy", F.lit(False)).select(*columns)
+    # Only the leaders of large groups are read for this. A group without any doc_id is in one stream.
+    wanted = groups.where((F.col("n") > span) & F.col("leader").isNotNull()).select(F.col("leader").alias("w_id")).distinct()
+    leaders = texts(docs.join(wanted, F.col("doc_id").cast("long") == F.col("w_id"), "left_semi"))
+    leaders = leaders.where((F.col("n") > span) & (F.col("doc_id") == F.col("leader"))).dropDuplicates(list(PRINT))
+    leaders = leaders.withColumn("stream", F.explode(F.sequence(F.lit(0).cast("long"), streams - 1))).withColumn("copy", F.lit(True)).select(*columns)
+    both = rows.unionByName(leaders).repartition(*key).sortWithinPartitions(*key, F.desc("copy"), "doc_id")
     schema = ", ".join(f"{c} long" for c in key) + ", doc_id long, th long, sha string, copy boolean, cls int, again boolean"
-    return both.select(*key, "doc_id", "th", "sha", "norm", "copy").mapInArrow(_compared, schema).where("NOT copy").drop("copy", "stream")
+    return both.mapInArrow(_compared, schema).where("NOT copy").drop("copy", "stream")
 
 
 def exact_duplicates(docs: DataFrame, huge: int = HUGE, part: int = PART, span: int = SPAN) -> DataFrame:
@@ -184,23 +191,23 @@ def exact_duplicates(docs: DataFrame, huge: int = HUGE, part: int = PART, span:
     is kept, with a null keep_id, where all doc_ids of a group are null. No rows: no rows.
 
     Fingerprints alone are grouped. A text whose fingerprint and length no other row has is alone; only the
-    others are read again and compared byte by byte, chunk after chunk. Texts that have the fingerprint of
+    others are dealt out and compared byte by byte, chunk after chunk. Texts that have the fingerprint of
     their group's leader without being equal to it are compared anew, among themselves.
     """
     prints = written(fingerprinted(docs, huge, part), "prints")
     groups = prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("leader"))
-    groups = groups.withColumn("k", rekeyed(F.col("f1"))).drop("f1")
-    grouped = written(prints.withColumn("k", rekeyed(F.col("f1"))).join(groups, ["k", *PRINT[1:]]).drop("k"), "grouped")
-    todo, nr, done = grouped.where("n > 1").select("doc_id", "th", *PRINT, "sha", "n", "leader").distinct(), 0, []
+    # Written, so that its size is known: while it is small, only texts of groups are shuffled.
+    todo = groups = written(groups.where("n > 1"), "groups")
+    rows, nr, done = docs, 0, []
     while True:
-        # Written, so that its size is known: while it is small, only its own texts are shuffled.
-        found = written(compared(docs, written(todo, "members"), span).withColumn("nr", F.lit(nr)), "compared")
+        found = written(compared(rows, todo, huge, part, span).withColumn("nr", F.lit(nr)), "compared")
         done.append(found.where((F.col("n") <= span) | (F.col("cls") == 0)))
         rest = found.where((F.col("n") > span) & (F.col("cls") > 0))
         if rest.isEmpty():
             break
-        again = rest.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("leader"))
-        todo, nr = rest.select("doc_id", "th", *PRINT, "sha").distinct().join(again, list(PRINT)), nr + 1
+        todo, nr = written(rest.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("leader")), "groups"), nr + 1
+        left = rest.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).distinct()
+        rows = _rows(docs).join(left, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left_semi")
     found = reduce(DataFrame.unionByName, done)
     key = [*PRINT, "n", "nr", "cls"]
     whole = found.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -208,7 +215,9 @@ def exact_duplicates(docs: DataFrame, huge: int = HUGE, part: int = PART, span:
     found = found.withColumn("k", rekeyed(F.col("f1"))).join(whole, ["k", *key[1:]])
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("again")
     found = found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
-    alone = grouped.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    shared = groups.select(rekeyed(F.col("f1")).alias("k"), *PRINT[1:])
+    alone = prints.withColumn("k", rekeyed(F.col("f1"))).join(shared, ["k", *PRINT[1:]], "left_anti")
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(found)
 
 
