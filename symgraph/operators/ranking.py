@@ -56,11 +56,15 @@ def passes_gate(n_lexical: int, best_similarity: float | None, n_terms: int) ->
     return best_similarity is not None and best_similarity >= (ONE_TERM_FLOOR if n_terms < 2 else TERMS_FLOOR)
 
 
+def enough(similarity, n_terms: int):
+    """passes_gate() of a similarity without anything lexical, as a column."""
+    return similarity >= (ONE_TERM_FLOOR if n_terms < 2 else TERMS_FLOOR)
+
+
 def gated(hits: DataFrame, lexical: list[DataFrame], semantic: DataFrame, n_terms: int) -> DataFrame:
     """hits if passes_gate(), as one plan: the gate is a row that hits are joined to."""
-    floor = ONE_TERM_FLOOR if n_terms < 2 else TERMS_FLOOR
     rows = [x.select(F.lit(True).alias("ok")).limit(1) for x in lexical]
-    rows.append(semantic.where("rank = 0").where(sx.similarity(F.col("distance")) >= floor).select(F.lit(True).alias("ok")).limit(1))
+    rows.append(semantic.where("rank = 0").where(enough(sx.similarity(F.col("distance")), n_terms)).select(F.lit(True).alias("ok")).limit(1))
     gate = rows[0]
     for r in rows[1:]:
         gate = gate.union(r)
@@ -125,6 +129,20 @@ def final_ranking(boosts: DataFrame, limit: int) -> DataFrame:
     return ranked(rows, [F.desc("score"), "abs_path", "start_line", "chunk_key"], limit)
 
 
+def shares(rows: DataFrame, score, name: str, temperature: float = 1.0, by: str | None = None) -> DataFrame:
+    """rows with their share of exp(score / temperature) among all, or all of the same `by`: by two aggregates, for
+    tables of any size, where softmax() over a window would hold them in one task."""
+    t = temperature if temperature > 0 else 1.0
+    key = F.lit(0) if by is None else F.col(by)
+    rows = rows.withColumns({"_s": score, "_by": key})
+    top = rows.groupBy("_by").agg(F.max("_s").alias("_top"))
+    weighed = rows.join(top.select(F.col("_by").alias("_b"), "_top"), F.col("_by").eqNullSafe(F.col("_b"))).drop("_b")
+    weighed = weighed.withColumn("_w", F.exp((F.col("_s") - F.col("_top")) / t))
+    total = weighed.groupBy("_by").agg(F.sum("_w").alias("_total"))
+    out = weighed.join(total.select(F.col("_by").alias("_b"), "_total"), F.col("_by").eqNullSafe(F.col("_b")))
+    return out.withColumn(name, F.col("_w") / F.col("_total")).drop("_s", "_by", "_b", "_top", "_w", "_total")
+
+
 def clipped(hits: DataFrame) -> DataFrame:
     """hits: rank, probability. Cut after the rows that hold CLIP_MASS, if the next one has little; what is left is
     scaled to one. If some probability isn't positive they all stay."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
@@ -241,3 +241,14 @@ def stale(projects: DataFrame, root: str, keep: list[str]) -> DataFrame:
 
 def exists(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
+
+
+def ends(rows: DataFrame, by: list[str], order: str, key: str, most: int) -> DataFrame:
+    """The first and last `most` rows of each `by` by order and key, with `a`, the number from the first: what a
+    summary shows. Each end is a limited window, of which tasks drop the rest before the shuffle."""
+    w = Window.partitionBy(*by)
+    first = rows.withColumn("a", F.row_number().over(w.orderBy(order, key)))
+    last = rows.withColumn("z", F.row_number().over(w.orderBy(F.desc(order), F.desc(key)))).where(F.col("z") <= most)
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    last = last.join(n, by).withColumn("a", (F.col("n") - F.col("z") + 1).cast("int")).where(F.col("a") > most).drop("z", "n")
+    return first.where(F.col("a") <= most).unionByName(last)

@@ -8,6 +8,7 @@ from ..functions import scoring as sx
 from ..functions import text as fx
 from ..operators import derive
 from ..operators.intervals import first_by
+from ..sources import scip
 from ..sources.corpus import Corpus
 from .model_sql import EDGES, model
 
@@ -130,6 +131,18 @@ u AS (SELECT doc_id, list_transform(list_filter(list_zip(ws, range(1, len(ws) +
 SELECT doc_id, array_to_string(ws, '|') AS terms, CAST(len(ws) AS INTEGER) AS n_terms FROM u"""
 
 
+def text_terms(spark, sf_dir):
+    """The search terms of whole texts."""
+    terms = fx.search_terms_column(F.col("text"))
+    return Corpus(spark, sf_dir).documents.select("doc_id", F.sha2(F.array_join(terms, "|"), 256).alias("terms"), F.size(terms).alias("n_terms"))
+
+
+TEXT_TERMS = f"""
+WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w, unnest(range(1, len(string_split_regex(lower(text), '\\s+')) + 1)) AS i FROM documents),
+u AS (SELECT doc_id, w, min(i) AS i FROM (SELECT doc_id, trim(w, {EDGES}) AS w, i FROM t) WHERE strlen(w) >= 3 GROUP BY doc_id, w)
+SELECT d.doc_id, sha256(coalesce(string_agg(u.w, '|' ORDER BY u.i), '')) AS terms, CAST(count(u.w) AS INTEGER) AS n_terms FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def identifier_test(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     docs = Corpus(spark, sf_dir).words.select(F.col("symbol").alias("name")).distinct()
@@ -173,10 +186,11 @@ SELECT page_id, CASE WHEN trim(given) <> '' THEN given WHEN trim(shown) <> '' TH
 def relationship_edges(spark, sf_dir):
     """Up to four edges of a relationship with flags; here flags are the bits of a line number."""
     rel = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber")
-    kinds = {"reference": 1, "implementation": 2, "type_definition": 4, "definition": 8}
-    flags = F.array_compact(F.array(*(F.when(sx.has_bit(F.col("l_linenumber"), bit), kind) for kind, bit in kinds.items())))
-    edges = rel.select(F.col("l_orderkey").alias("src_symbol"), F.col("l_partkey").alias("dst_symbol"), F.explode(flags).alias("kind"), F.lit("scip").alias("provenance"))
-    return edges.dropDuplicates()
+    flags = {"is_reference": 1, "is_implementation": 2, "is_type_definition": 4, "is_definition": 8}
+    related = F.struct(F.col("l_partkey").cast("string").alias("symbol"), *(sx.has_bit(F.col("l_linenumber"), bit).alias(f) for f, bit in flags.items()))
+    symbol = F.struct(F.col("l_orderkey").cast("string").alias("symbol"), F.array(related).alias("relationships"))
+    edges = scip.relationship_edges(rel.select(F.array(symbol).alias("symbols")))
+    return edges.withColumns({"src_symbol": F.col("src_symbol").cast("long"), "dst_symbol": F.col("dst_symbol").cast("long")})
 
 
 RELATIONSHIP_EDGES = " UNION ".join(
@@ -227,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         files_manifest, line_chunks, token_occurrences, chunk_hierarchy, symbol_definitions, primary_symbol, chunk_symbol_links, occurrence_edges,
-        retrieval_text, query_terms, identifier_test, position_compare, symbol_records, relationship_edges, role_bits, last_definition_wins, edge_order,
+        retrieval_text, query_terms, text_terms, identifier_test, position_compare, symbol_records, relationship_edges, role_bits, last_definition_wins, edge_order,
     )
 }
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

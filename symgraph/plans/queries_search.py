@@ -144,7 +144,7 @@ def low_confidence_gate(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     query = vector(spark, sf_dir)
     rows = e.select("vec_id", sx.similarity(retrieval.l2_distance(F.col("embedding"), query)).alias("similarity"))
-    one, more = F.col("similarity") >= ranking.ONE_TERM_FLOOR, F.col("similarity") >= ranking.TERMS_FLOOR
+    one, more = (ranking.enough(F.col("similarity"), n) for n in (1, 2))
     return rows.select("vec_id", one.alias("shown_one_term"), more.alias("shown_terms"))
 
 
@@ -324,10 +324,8 @@ WHERE EXISTS (SELECT 1 FROM lexical_symbols) OR EXISTS (SELECT 1 FROM lexical_ch
 def softmax_probabilities(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = e.select("vec_id", "label", (10 * sx.similarity(retrieval.l2_distance(F.col("embedding"), vector(spark, sf_dir)))).alias("score"))
-    from pyspark.sql import Window
-
-    by_label = Window.partitionBy("label")
-    return rows.select("vec_id", F.round(sx.softmax(F.col("score"), 4.0), 9).alias("all_t4"), F.round(sx.softmax(F.col("score"), 1.0, by_label), 9).alias("label_t1"))
+    rows = ranking.shares(ranking.shares(rows, F.col("score"), "a", 4.0), F.col("score"), "l", 1.0, "label")
+    return rows.select("vec_id", F.round("a", 9).alias("all_t4"), F.round("l", 9).alias("label_t1"))
 
 
 SOFTMAX_PROBABILITIES = f"""WITH s AS (SELECT vec_id, label, list_distance(CAST(embedding AS DOUBLE[]), {_QUERY_VECTOR}) AS d FROM embeddings),

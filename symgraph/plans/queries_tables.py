@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as sx
@@ -10,7 +9,7 @@ from ..functions import text as fx
 from ..operators import freshness, tables
 from ..session import scratch
 from ..sources import files as fs
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, root_of
 from .model_sql import model
 
 
@@ -365,9 +364,12 @@ ROOT_VOTE = f"WITH {_PROJECTS} SELECT root_path AS root, count(*) AS n FROM proj
 
 
 def run_log(spark, sf_dir):
-    """Events as runs, by day, with times as the log writes them."""
+    """Events as runs in a store's log, by day, with times as the log writes them."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    out = e.groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("runs"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    store = tables.Store(spark, scratch(spark))
+    store.log_run("/corpus", "events", e.select(F.col("ts").alias("started_at"), F.col("ts").alias("completed_at"), F.col("event_type").alias("status")))
+    runs = store.table("index_runs").groupBy(F.to_date("started_at").alias("day"), "status")
+    out = runs.agg(F.count(F.lit(1)).alias("runs"), F.min("started_at").alias("first"), F.max("completed_at").alias("last"))
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "status", "runs", fx.rfc3339(F.col("first")).alias("started_at"), fx.rfc3339(F.col("last")).alias("completed_at"))
 
 
@@ -375,8 +377,11 @@ RUN_LOG = """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type AS
 
 
 def indexed_files(spark, sf_dir):
-    files = Corpus(spark, sf_dir).files.where(F.col("root_path") == "/corpus/src2")
-    return files.select("relative_path", fx.content_hash(F.col("text")).alias("content_hash"), fx.line_count(F.col("text")).alias("line_count"))
+    """Files of a root as a store has them."""
+    c = Corpus(spark, sf_dir, "src2")
+    store = tables.Store(spark, scratch(spark))
+    store.replace(root_of("src2"), "text", {"files": c.files.select("relative_path", fx.content_hash(F.col("text")).alias("content_hash"), fx.line_count(F.col("text")).alias("line_count"))})
+    return store.table("files").where(F.col("root_path") == root_of("src2")).select("relative_path", "content_hash", "line_count")
 
 
 INDEXED_FILES = """SELECT 'd' || doc_id || '.txt' AS relative_path, sha256(text) AS content_hash,
@@ -408,11 +413,14 @@ SELECT c.chunk_key, c.kind, coalesce(c.primary_symbol, '') AS symbol, coalesce(p
 
 
 def indexed_vectors(spark, sf_dir):
-    """Vectors of the module chunks of a root."""
+    """Vectors of the module chunks of a root, as a store has them."""
     c = Corpus(spark, sf_dir, "src2")
-    modules = c.chunks.where("kind = 'module'").select("chunk_key", F.col("doc_id").alias("vec_id"))
-    vectors = c.vectors.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"), F.size("embedding").alias("n"))
-    return modules.join(vectors, "vec_id").select("chunk_key", "total", "n")
+    modules = c.chunks.where("kind = 'module'").select(F.col("chunk_key").alias("owner_key"), F.col("doc_id").alias("vec_id"))
+    store = tables.Store(spark, scratch(spark))
+    vectors = modules.join(c.vectors, "vec_id").select(F.lit("chunk").alias("owner_type"), "owner_key", F.col("embedding").alias("vector"))
+    store.replace(root_of("src2"), "text", {"embeddings": vectors})
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 5)
+    return store.table("embeddings").select(F.col("owner_key").alias("chunk_key"), total.alias("total"), F.size("vector").alias("n"))
 
 
 INDEXED_VECTORS = model("src2") + "\nSELECT c.chunk_key, round(list_sum(CAST(e.embedding AS DOUBLE[])), 5) AS total, CAST(len(e.embedding) AS INTEGER) AS n FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.kind = 'module'"
@@ -437,9 +445,7 @@ EXISTENCE = f"WITH {_PROJECTS} SELECT r AS root_path, EXISTS (SELECT 1 FROM proj
 def sampled_rows(spark, sf_dir):
     """The first and last few orders of each status, as a summary shows them."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    first, last = (Window.partitionBy("o_orderstatus").orderBy(k, "o_orderkey") for k in ("o_orderdate", F.desc("o_orderdate")))
-    rows = orders.withColumn("a", F.row_number().over(first)).withColumn("z", F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))))
-    return rows.where("a <= 3 OR z <= 3").select("o_orderstatus", "o_orderkey", "a")
+    return tables.ends(orders, ["o_orderstatus"], "o_orderdate", "o_orderkey", 3).select("o_orderstatus", "o_orderkey", "a")
 
 
 SAMPLED_ROWS = """SELECT o_orderstatus, o_orderkey, CAST(a AS INTEGER) AS a FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) AS z FROM orders) WHERE a <= 3 OR z <= 3"""
