@@ -1,4 +1,9 @@
-"""The corpus pipeline over documents: five stages, each written and read again by the next."""
+"""The corpus pipeline over documents: five stages, each written and read again by the next.
+
+In all stages a null text counts as an empty one, columns other than those of documents pass by unread, and no rows give
+no rows. Rows that repeat are kept by the first two stages, made one by the third, and are documents of their own
+in the last two. Rows without doc_id are documents like any other.
+"""
 
 from __future__ import annotations
 
@@ -16,12 +21,14 @@ def _typed(docs: DataFrame) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject: those that score 0.3 or more. Empty texts have the score
+    of the bias alone. Labels of the held-out fold aren't learnt from."""
     return quality_classifier.accepted(_typed(docs), table(spark, sf_dir, "labels"), DOCUMENT_COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stay in another; one of which nothing is left goes if it had a word."""
+    """Documents without the lines that stay in another; one of which nothing is left goes if it lost a line. Empty
+    texts stay. A null doc_id counts as one document, and holds a line only if no other does."""
     out = line_dedup.dedup_lines(_typed(docs), more=("lang", "source"))
     out = out.where((F.col("n_dropped") == 0) | (F.btrim("kept") != ""))
     out = out.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long"))
@@ -43,12 +50,13 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of them, as often as it does."""
+    """Documents with the words that the mix takes of them, as often as it does. Those without a word go; null
+    sources are a source."""
     return mixing.mixed_documents(_typed(docs), DOCUMENT_COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences."""
+    """Pieces of the documents' tokens in sequences. An empty text is its end's id alone."""
     return packing.query(_typed(docs))
 
 
