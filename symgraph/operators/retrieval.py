@@ -41,12 +41,12 @@ def ranked(hits: DataFrame, order: list, limit: int) -> DataFrame:
 
 def held(df: DataFrame) -> DataFrame:
     """A result that its limits bound, brought to the driver once, so that no later step computes it again."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def any_in(column: str, rows: DataFrame, of: str) -> Column:
     """column is one of the values of a held() frame: constants, which reach the scan as a filter."""
-    return F.col(column).isin([r[0] for r in rows.select(of).distinct().collect()])
+    return F.col(column).isin(sorted({r[0] for r in rows.select(of).collect()} - {None}))
 
 
 def l2_distance(vector: Column, query: list[float]) -> Column:

@@ -321,6 +321,57 @@ SEARCH_MODE_AUTO_WORDS = _WORDS_CHAIN + _SHOW + """
 WHERE EXISTS (SELECT 1 FROM lexical_symbols) OR EXISTS (SELECT 1 FROM lexical_chunks) OR EXISTS (SELECT 1 FROM semantic WHERE rank = 0 AND similarity >= 0.44)"""
 
 
+#: A word that its project defines, in a chunk that it names.
+EXACT = "eden"
+_EXACT_TERMS = fx.search_terms(EXACT)
+
+
+def exact_search_symbol(spark, sf_dir):
+    return _shown(router(spark, sf_dir).search(EXACT, LIMIT, "symbol"))
+
+
+EXACT_SEARCH_SYMBOL = m.hybrid(SOURCE, EXACT, _EXACT_TERMS, VECTOR, LIMIT, chunks=False, near=False, graph=False) + _SHOW
+
+
+def exact_search_graph(spark, sf_dir):
+    return _shown(router(spark, sf_dir).search(EXACT, LIMIT, "graph"))
+
+
+EXACT_SEARCH_GRAPH = m.hybrid(SOURCE, EXACT, _EXACT_TERMS, VECTOR, LIMIT, chunks=False) + _SHOW
+
+
+def exact_search_hybrid(spark, sf_dir):
+    return _shown(router(spark, sf_dir).search(EXACT, LIMIT, "hybrid"))
+
+
+EXACT_SEARCH_HYBRID = m.hybrid(SOURCE, EXACT, _EXACT_TERMS, VECTOR, LIMIT) + _SHOW
+
+
+def exact_definition(spark, sf_dir):
+    return router(spark, sf_dir).definition(EXACT)
+
+
+EXACT_DEFINITION = f"""{m.model(SOURCE)},\n{m.DEFINITION_CHUNKS},\n{m.found_definitions(EXACT, 8)},\n{m.resolved(EXACT)}
+SELECT r.display_name, r.scip_symbol, r.abs_path, r.def_line, r.ambiguous, c.chunk_key, c.start_line, c.end_line FROM resolved r LEFT JOIN definition_chunks c ON c.primary_symbol = r.display_name"""
+
+
+def exact_context_related(spark, sf_dir):
+    """Chunks related to the seed of a context; the seed is the best hit after the rules for seeds."""
+    return router(spark, sf_dir).context(EXACT, LIMIT, "hybrid")["related"].select("chunk_key", _word("seed"), "relation_kind", "direction", "rank")
+
+
+EXACT_CONTEXT_RELATED = m.hybrid(SOURCE, EXACT, _EXACT_TERMS, VECTOR, LIMIT) + f""", context_seed AS (
+  SELECT * FROM (SELECT *, round(score * {m.RERANK} * CASE WHEN kind = 'module' THEN 0.22 ELSE 1.0 END * CASE WHEN name = '{EXACT}' THEN 1.6 ELSE 1.0 END, 9) AS seed_score FROM hits)
+  ORDER BY seed_score DESC, rank LIMIT 1
+), own AS (
+  SELECT symbol, max(weight * ({m.ROLE_WEIGHT})::DOUBLE) AS weight FROM links WHERE chunk_key = (SELECT chunk_key FROM context_seed) GROUP BY symbol
+), best AS (SELECT *, row_number() OVER (ORDER BY round(weight, 9) DESC, symbol) - 1 AS seed_rank FROM own QUALIFY seed_rank < 4),
+{m.related('best', 6, 'near_seed')}, once AS (
+  SELECT r.*, b.seed_rank, row_number() OVER (PARTITION BY chunk_key ORDER BY b.seed_rank, r.nr) AS again FROM near_seed r JOIN best b ON b.symbol = r.seed
+)
+SELECT chunk_key, seed, relation_kind, direction, CAST(row_number() OVER (ORDER BY seed_rank, nr) - 1 AS INTEGER) AS rank FROM once WHERE again = 1 ORDER BY rank LIMIT {LIMIT}"""
+
+
 def softmax_probabilities(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = e.select("vec_id", "label", (10 * sx.similarity(retrieval.l2_distance(F.col("embedding"), vector(spark, sf_dir)))).alias("score"))
@@ -451,7 +502,8 @@ QUERIES = {
         lexical_chunk_search, symbol_search, find_definitions, supplier_definitions, resolve_definition, knn_l2, vector_search, foreign_first_search,
         similarity_floor, low_confidence_gate, reference_family, list_references, definition_chunk, linked_symbols, neighbor_chunks, neighbor_turns,
         related_chunks, fusion_scores, seed_symbols, graph_expansion, hybrid_search, search_mode_symbol, search_mode_semantic, search_mode_graph,
-        search_mode_auto, search_mode_auto_words, softmax_probabilities, adaptive_clip, context_seed, context_neighbours, seed_chunk_related,
+        search_mode_auto, search_mode_auto_words, exact_search_symbol, exact_search_graph, exact_search_hybrid, exact_definition,
+        exact_context_related, softmax_probabilities, adaptive_clip, context_seed, context_neighbours, seed_chunk_related,
         definition_query, references_query, symbol_vector_search, vector_norm, rank_weight,
     )
 }
