@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,17 +20,21 @@ from .sources import files as fs
 from .sources import git, scip
 from .sources.corpus import Corpus, root_of
 
+RUN = "started_at timestamp, completed_at timestamp, status string, files_indexed long, symbols_indexed long, chunks_indexed long, error_text string"
 #: Rows of a listing that are printed at most; a status has a row a project.
 SHOWN = 1000
 
 
 def units_of(spark: SparkSession, root: str) -> list[tuple[str, tree.Source]]:
-    """A tree's units as sources, each with its files' content. A unit's symbol index is <adapter>.scip in the state
-    folder of the unit; units without one are passed over."""
-    files = fs.tree(spark, f"file://{root}")
-    rules = []
-    for r in files.where("relative_path = '.gitignore'").select(F.decode("content", "UTF-8")).collect():
-        rules = fs.ignore_rules(r[0])
+    """A tree's units as sources, each with its files' content: in a repository what git lists, elsewhere all that the
+    ignore file doesn't name. A unit's symbol index is <adapter>.scip in the state folder of the unit; units
+    without one are passed over."""
+    files, rules = fs.tree(spark, f"file://{root}"), []
+    if git.is_repository(root):
+        files = files.join(git.listed(spark, root), "relative_path", "left_semi")
+    else:
+        for r in files.where("relative_path = '.gitignore'").select(F.decode("content", "UTF-8")).collect():
+            rules = fs.ignore_rules(r[0])
     out = []
     for folder, adapter_id, manifest in detected(files):
         adapter = ADAPTERS[adapter_id]
@@ -43,6 +48,22 @@ def units_of(spark: SparkSession, root: str) -> list[tuple[str, tree.Source]]:
     return out
 
 
+def logged(store: Store, source: tree.Source, run) -> None:
+    """Builds a unit's index and logs the run with its counts, or with what went wrong."""
+    began, adapter_id = datetime.now(UTC), source.adapter.id
+
+    def log(status: str, counts: dict[str, int], error: str | None = None) -> None:
+        row = (began, datetime.now(UTC), status, counts.get("n_files"), counts.get("n_symbols"), counts.get("n_chunks"), error)
+        store.log_run(source.root, adapter_id, store.spark.createDataFrame([row], RUN))
+
+    try:
+        run(store, source)
+    except Exception as e:
+        log("error", {}, str(e)[:1000])
+        raise
+    log("ok", store.status().where((F.col("root_path") == source.root) & (F.col("adapter_id") == adapter_id)).first().asDict())
+
+
 def index_tree(store: Store, root: str, incremental: bool = True) -> DataFrame:
     """All units of a tree into a store: those that were indexed before only where files changed. Projects that
     are no longer there go. Returns status()."""
@@ -50,14 +71,8 @@ def index_tree(store: Store, root: str, incremental: bool = True) -> DataFrame:
     if not found:
         raise LookupError(f"no unit below {root} has a symbol index")
     for adapter_id, source in found:
-        began = F.current_timestamp()
         known = any(r[1:3] == (source.root, adapter_id) for r in store.manifest())
-        if known and incremental:
-            tree.reindex(store, source)
-        else:
-            tree.build(store, source)
-        n = store.spark.range(1).select(began.alias("started_at"), F.current_timestamp().alias("completed_at"), F.lit("ok").alias("status"))
-        store.log_run(source.root, adapter_id, n)
+        logged(store, source, tree.reindex if known and incremental else tree.build)
     store.drop_stale(root, [adapter_id for adapter_id, _ in found])
     return store.status()
 

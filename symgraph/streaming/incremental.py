@@ -1,4 +1,5 @@
-"""Continuous indexing: a stream of file versions keeps a project's files in a store up to date."""
+"""Continuous indexing: a stream of file versions keeps a project's files and chunks in a store up to date. Symbols come
+from symbol indexes, which a stream of text hasn't; chunks are searched by their text until those are renewed."""
 
 from __future__ import annotations
 
@@ -6,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..chunkers import chunk_files
 from ..functions import text as fx
+from ..operators import derive
 from ..operators.intervals import first_by
 from ..operators.tables import Store
 
@@ -27,8 +30,12 @@ def apply_batch(store: Store, root: str, adapter: str, versions: DataFrame) -> N
     try:
         if changed.isEmpty():
             return
-        rows = changed.where("NOT deleted").select("relative_path", "content_hash", fx.line_count(F.col("text")).alias("line_count"))
-        store.update(root, adapter, changed.select("relative_path"), {"files": rows})
+        there = changed.where("NOT deleted")
+        rows = there.select("relative_path", "content_hash", fx.line_count(F.col("text")).alias("line_count"))
+        chunks = chunk_files(there.select("relative_path", F.col("text").cast("binary").alias("content")))
+        about = derive.preamble(F.col("name"), F.col("kind"), F.col("file_path"))
+        chunks = chunks.withColumn("retrieval_text", F.concat(about, F.lit("\n\n"), F.col("text")))
+        store.update(root, adapter, changed.select("relative_path"), {"files": rows, "chunks": chunks})
     finally:
         changed.unpersist()
 

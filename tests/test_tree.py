@@ -9,11 +9,12 @@ from test_sources import field, varint
 from symgraph import chunkers, cli
 from symgraph.adapters import ADAPTERS
 from symgraph.functions import text as fx
-from symgraph.operators import call_edges, embedding, freshness, tree
+from symgraph.operators import call_edges, embedding, freshness, retrieval, tree
 from symgraph.operators.build import StoredIndex
 from symgraph.operators.tables import Store
 from symgraph.plans.router import Router
 from symgraph.sources import git, scip
+from symgraph.streaming import incremental
 
 OCC = (
     "file_path string, symbol string, start_line int, start_col int, end_line int, end_col int, enclosing_start_line int, enclosing_start_col int, "
@@ -276,3 +277,27 @@ def test_store_keeps_what_it_should(spark, tmp_path):
 def test_embeddings_without_a_model(spark):
     texts = spark.createDataFrame([("chunk", "k", "t")], "owner_type string, owner_key string, text string")
     assert embedding.NoProvider().embed(texts).count() == 0
+
+
+def test_a_stream_chunks_what_changed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    versions = lambda *rows: spark.createDataFrame(rows, "relative_path string, text string, version long, deleted boolean")
+    incremental.apply_batch(store, "/r", "python", versions(("a.py", "def f(): pass\n", 1, False), ("b.py", "x = 1\n", 1, False)))
+    incremental.apply_batch(store, "/r", "python", versions(("a.py", "def g(): pass\n", 2, False), ("b.py", None, 2, True)))
+    got = {(r.file_path, r.kind, r.name) for r in store.table("chunks").collect()}
+    assert got == {("a.py", "module", "a.py"), ("a.py", "function_definition", "g")}
+    assert retrieval.search_chunks(StoredIndex(store, "/r").chunks, "def g", 3).first().name == "g"
+
+
+def test_runs_are_logged(spark, project, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    ((_, source),) = cli.units_of(spark, str(project))
+
+    def fails(*_):
+        raise ValueError("no such thing")
+
+    with pytest.raises(ValueError, match="no such thing"):
+        cli.logged(store, source, fails)
+    cli.logged(store, source, tree.build)
+    runs = {r.status: r for r in store.table("index_runs").collect()}
+    assert runs["error"].error_text == "no such thing" and runs["ok"].files_indexed == 2 and runs["ok"].started_at < runs["ok"].completed_at
