@@ -20,6 +20,8 @@ HUGE = 1 << 23
 PART = 1 << 22
 #: Rows of a group that are compared in one stream; larger groups take several.
 SPAN = 256
+#: Bits of the filter that tells most texts of no group, whatever the number of groups: 4 MB.
+BITS = 1 << 25
 #: What texts may be equal by: the fingerprint and the length.
 PRINT = ("f1", "f2", "f3", "f4", "size")
 
@@ -64,6 +66,33 @@ def fingerprint(data: bytes) -> tuple[int, ...]:
     return h
 
 
+def bitmap(groups: DataFrame) -> bytes:
+    """A bit for each print of groups; BITS of them, so what comes to the driver is bounded."""
+    import numpy as np
+
+    bit = F.col("f1").bitwiseXOR(F.shiftleft("f2", 3)).bitwiseAND(F.lit(BITS - 1))
+    words = groups.withColumn("b", bit).select(F.shiftright("b", 6).alias("at"), F.expr("shiftleft(1L, CAST(b & 63 AS INT))").alias("bits"))
+    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def _marked(marks):
+    """Of rows with prints those that marks, a broadcast bitmap(), has a bit for."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.frombuffer(marks.value, np.uint8)
+        for b in batches:
+            k = (b.column("f1").to_numpy() ^ b.column("f2").to_numpy() << 3) & BITS - 1
+            yield b.filter(pa.array((bits[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
 def _prints(with_text: bool):
     """doc_id, th, text -> doc_id, th, size, sha, f1..f4, and norm if texts are wanted."""
 
@@ -170,7 +199,9 @@ def compared(docs: DataFrame, groups: DataFrame, huge: int = HUGE, part: int = P
     streams = F.ceil(F.col("n") / span)
     key = [*PRINT, "n", "stream"]
     own = groups.withColumn("k", rekeyed(F.col("f1"))).drop("f1")
-    texts = lambda rows: fingerprinted(rows, huge, part, True).withColumn("k", rekeyed(F.col("f1"))).join(own, ["k", *PRINT[1:]]).drop("k")
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(groups))
+    found = lambda rows: fingerprinted(rows, huge, part, True).mapInArrow(_marked(marks), PRINTED + ", norm binary")
+    texts = lambda rows: found(rows).withColumn("k", rekeyed(F.col("f1"))).join(own, ["k", *PRINT[1:]]).drop("k")
     columns = [*key, "doc_id", "th", "sha", "norm", "copy"]
     rows = texts(docs).withColumn("stream", F.pmod(F.xxhash64("doc_id"), streams)).withColumn("copy", F.lit(False)).select(*columns)
     # Only the leaders of large groups are read for this. A group without any doc_id is in one stream.
@@ -191,12 +222,11 @@ def exact_duplicates(docs: DataFrame, huge: int = HUGE, part: int = PART, span:
     is kept, with a null keep_id, where all doc_ids of a group are null. No rows: no rows.
 
     Fingerprints alone are grouped. A text whose fingerprint and length no other row has is alone; only the
-    others are dealt out and compared byte by byte, chunk after chunk. Texts that have the fingerprint of
+    others, which a filter of fixed size lets pass, are dealt out and compared byte by byte, chunk after chunk. Texts that have the fingerprint of
     their group's leader without being equal to it are compared anew, among themselves.
     """
     prints = written(fingerprinted(docs, huge, part), "prints")
     groups = prints.groupBy(*PRINT).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("leader"))
-    # Written, so that its size is known: while it is small, only texts of groups are shuffled.
     todo = groups = written(groups.where("n > 1"), "groups")
     rows, nr, done = docs, 0, []
     while True:
