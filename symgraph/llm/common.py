@@ -85,6 +85,12 @@ def rekeyed(h: Column) -> Column:
     return h.bitwiseXOR(F.lit(0x5DEECE66D))
 
 
+def sorted_in(df: DataFrame) -> DataFrame:
+    """df as one side of a join that both sides are dealt out and sorted for, whatever their estimated size. To Spark, what
+    an explode makes is as small as what it was made of, so that it might collect millions of rows in the driver to broadcast."""
+    return df.hint("merge")
+
+
 def rows_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, more, text (null: empty) and th; (doc_id, th) names a row, equal rows alike."""
     text = F.coalesce(F.col("text"), F.lit(""))

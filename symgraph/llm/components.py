@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, rekeyed, written
+from .common import discard, rekeyed, sorted_in, written
 
 
 def _least(links: DataFrame) -> DataFrame:
     """u, v, m: each directed link with the least of u and all ends of its links."""
     least = links.groupBy("u").agg(F.min("v").alias("m")).select(rekeyed(F.col("u")).alias("k"), F.least("u", "m").alias("m"))
-    return links.withColumn("k", rekeyed(F.col("u"))).join(least, "k").drop("k")
+    return links.withColumn("k", rekeyed(F.col("u"))).join(sorted_in(least), "k").drop("k")
 
 
 def _both_ways(links: DataFrame) -> DataFrame:

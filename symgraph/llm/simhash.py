@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rekeyed, rows_of, written
+from .common import rekeyed, rows_of, sorted_in, written
 from .components import components
 
 MAX_BITS = 4
@@ -132,9 +132,9 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, cell: int = CELL) -> DataFr
         return pairs.where(close & exact).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
 
     fuller = cells.where("n > 2").select(rekeyed(F.col("cell")).alias("k"), "n")
-    members = written(filed.select(rekeyed(F.col("cell")).alias("k"), one.alias("m")).join(fuller, "k"), "members")
+    members = written(filed.select(rekeyed(F.col("cell")).alias("k"), one.alias("m")).join(sorted_in(fuller), "k"), "members")
     some = members.where(F.col("n") <= cell)
-    pairs = some.select("k", F.col("m").alias("a")).join(some.select("k", F.col("m").alias("b")), "k").where("a.fp < b.fp")
+    pairs = some.select("k", F.col("m").alias("a")).join(sorted_in(some.select("k", F.col("m").alias("b"))), "k").where("a.fp < b.fp")
     full = members.where(F.col("n") > cell).select("m.fp", "m.rep").distinct()
     # Around a fingerprint in two steps, so that no row holds all its words.
     around = full.select("rep", "fp", F.explode(F.lit([_signed(x) for x in _ball(max_bits)])).alias("x"))
@@ -152,15 +152,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     words than a shingle are one shingle. Rows that repeat are returned each. A row without
     doc_id carries no links and has the component of its fingerprint; if no other row has that one,
     component_id is null and root the fingerprint.
-    Documents of one fingerprint are one node, so copies in any number cost no pairs.
+    Documents of one fingerprint are one node, so copies in any number cost no pairs. No join here
+    or in links() and components() is a broadcast, so the driver holds no rows at any size or setting.
     """
     fps = written(fingerprints(docs), "fingerprints")
     ids = written(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "reps")
     found = components(links(ids.select("fp", F.col("fp").alias("rep")), max_bits)).select(F.col("u").alias("rep"), "component")
-    rooted = ids.join(found, F.col("fp") == F.col("rep"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+    rooted = ids.join(sorted_in(found), F.col("fp") == F.col("rep"), "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id")).select(rekeyed(F.col("root")).alias("r"), "component_id")
-    classes = rooted.withColumn("r", rekeyed(F.col("root"))).join(least, "r").select(rekeyed(F.col("fp")).alias("k"), "root", "component_id")
-    out = fps.withColumn("k", rekeyed(F.col("fp"))).join(classes, "k", "left")
+    classes = rooted.withColumn("r", rekeyed(F.col("root"))).join(sorted_in(least), "r").select(rekeyed(F.col("fp")).alias("k"), "root", "component_id")
+    out = fps.withColumn("k", rekeyed(F.col("fp"))).join(sorted_in(classes), "k", "left")
     return out.select("doc_id", "th", "fp", F.coalesce("root", "fp").alias("root"), "component_id")
 
 
