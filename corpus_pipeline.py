@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.llm import line_dedup, mixing, packing, quality_classifier, simhash
-from symgraph.llm.common import DOCUMENT_COLUMNS, documents, table, written
+from symgraph.llm.common import DOCUMENT_COLUMNS, documents, sorted_in, table, written
 
 
 def _typed(docs: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = simhash.near_duplicates(docs).groupBy("root").agg(F.min(order).alias("o"))
     first = written(first.select(F.col("o.doc_id").alias("f_id"), F.col("o.th").alias("f_th")), "first")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left_semi")
+    kept = docs.join(sorted_in(first), F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left_semi")
     return kept.dropDuplicates(["doc_id", "th"]).select(*DOCUMENT_COLUMNS)
 
 

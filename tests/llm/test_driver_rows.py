@@ -1,5 +1,6 @@
 """Near-dedup hands no table to the driver, however small Spark takes it to be."""
 
+import corpus_pipeline as cp
 import pytest
 
 from symgraph.llm import common, components, simhash
@@ -14,7 +15,7 @@ def plans(monkeypatch):
         found.append(df._jdf.queryExecution().executedPlan().toString())
         return common.written(df, *args, **options)
 
-    for module in (simhash, components):
+    for module in (simhash, components, cp):
         monkeypatch.setattr(module, "written", noted)
     return found
 
@@ -30,3 +31,10 @@ def test_op3_broadcasts_nothing(spark, plans):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len({r.component_id for r in out.collect()}) < 48
     assert sum("SortMergeJoin" in p for p in plans) >= 4 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_near_dedup_stage_broadcasts_nothing(spark, plans):
+    out = cp.dedup_near(spark, near_copies(spark), "")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert 0 < out.count() < 48
+    assert not [p for p in plans if "Broadcast" in p]
