@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 
 SLOTS = 1 << 18
 LONGEST = 32
@@ -71,13 +70,12 @@ class LetterBpe:
         import numpy as np
 
         out: list[bytes] = [b""] * len(words)
-        by_length = defaultdict(list)
-        for k, w in enumerate(words):
-            by_length[len(w)].append(k)
-        for length, members in by_length.items():
-            letters = np.frombuffer(b"".join([words[k] for k in members]), np.uint8).reshape(-1, length)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for length in np.unique(lengths).tolist():
+            members = np.flatnonzero(lengths == length)
+            letters = np.frombuffer(b"".join([words[k] for k in members.tolist()]), np.uint8).reshape(-1, length)
             ids = np.concatenate([self.inner[letters[:, :-1]], self.last[letters[:, -1:]]], axis=1)
-            where = np.array(members)
+            where = members
             slot = self._found(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), length - 1)
             while len(ids):
                 if ids.shape[1] == 1:
