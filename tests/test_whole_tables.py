@@ -45,3 +45,8 @@ def test_edges_of_null_keys_are_kept(spark, odd):
     got = [tuple(r) for r in qm.relationship_edges(spark, odd).collect()]
     found = whole_sql(odd, qm.RELATIONSHIP_EDGES)
     assert (11, None, "reference", "scip") in got and sorted(got, key=repr) == sorted(found, key=repr)
+
+
+def test_null_keys_are_last_in_order(spark, odd):
+    got = [tuple(r) for r in qm.edge_order(spark, odd).collect()]
+    assert got == whole_sql(odd, qm.EDGE_ORDER)
