@@ -57,6 +57,29 @@ def test_rows_that_repeat_are_one(spark, folder, tmp_path):
     assert rows_of(qm.chunk_symbol_links(spark, str(tmp_path))) == rows_of(qm.chunk_symbol_links(spark, folder))
 
 
+#: Ids of several texts, of one source and of others, where a text without the word is longer; no id.
+SHARED = [
+    (10, "\n".join(f"omega line{k}" for k in range(12)), "en", "a"),
+    (10, "gamma\nalpha\ngamma alpha beta\n\nalpha\nomega\nalpha alpha alpha", "en", "b"),
+    (2, "alpha\nbeta the alpha\n", "en", "b"),
+    (2, "beta\nalpha", "en", None),
+    (11, None, "de", "a"),
+    (None, "alpha beta\ngamma alpha newword", "en", "a"),
+    (None, "alpha", "en", "c"),
+]
+
+
+def test_documents_of_an_id_have_each_others_chunks(spark, folder, tmp_path):
+    docs = spark.createDataFrame(SHARED, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    spark.read.parquet(f"{folder}/documents.parquet").unionByName(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute("SET lambda_syntax = 'ENABLE_SINGLE_ARROW'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(f"SELECT symbol, role, chunk_kind, n_chunks, first_chunk, round(weight, 6) FROM ({qm.CHUNK_SYMBOL_LINKS})").fetchall()
+    assert rows_of(qm.chunk_symbol_links(spark, str(tmp_path))) == sorted(found)
+
+
 def test_words_are_dealt_out_once_and_links_never(spark, folder):
     df = qm.chunk_symbol_links(spark, folder)
     plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
