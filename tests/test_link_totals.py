@@ -69,7 +69,9 @@ SHARED = [
 ]
 
 
-def test_documents_of_an_id_have_each_others_chunks(spark, folder, tmp_path):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_documents_of_an_id_have_each_others_chunks(spark, folder, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("symgraph.sources.corpus.FEW_IDS", few)
     docs = spark.createDataFrame(SHARED, "doc_id long, text string, lang string, source string")
     docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
     spark.read.parquet(f"{folder}/documents.parquet").unionByName(docs).write.parquet(f"{tmp_path}/documents.parquet")
